@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from keystrata.session import get_spark
 
-    s = get_spark("tests", master="local[4]", shuffle_partitions=4)
+    s = get_spark("tests", master="local[2]", shuffle_partitions=4)
     yield s
     s.stop()
 
