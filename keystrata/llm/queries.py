@@ -38,6 +38,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,8 +59,10 @@ def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op4_quality, op5_bpe, op8_tokencount)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op4_quality, op5_bpe, op6_decontamination, op7_html, op8_tokencount)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontam import ORACLE
+
+    return {"op6_decontamination": ORACLE.format(docs="documents", items="benchmark")}
