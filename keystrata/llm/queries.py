@@ -58,8 +58,20 @@ def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages_of
+
+    return languages_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op4_quality, op5_bpe, op6_decontamination, op7_html, op8_tokencount)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op4_quality, op5_bpe, op6_decontamination, op7_html, op8_tokencount, op9_license, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
