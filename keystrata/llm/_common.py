@@ -31,6 +31,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -22,6 +22,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import assess
 
@@ -71,7 +77,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op4_quality, op5_bpe, op6_decontamination, op7_html, op8_tokencount, op9_license, op10_langid)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_pii, op4_quality, op5_bpe, op6_decontamination, op7_html, op8_tokencount, op9_license, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
