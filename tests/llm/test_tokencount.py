@@ -27,3 +27,18 @@ def test_query_form(spark):
     want = [(d or 0, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False))) for d, x, _ in docs]
     assert got == sorted((*w, w[2] > 512) for w in want)
     assert C.token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_rank_encoder_agrees_with_the_library(sf):
+    import pyarrow.parquet as pq
+
+    t, fast = Tokenizer.from_file(PATH), C.rank_encoder(PATH)
+    whole = lambda x: len(t.encode(x, add_special_tokens=False))
+    for k in range(0, 0x30000):
+        if not 0xD800 <= k < 0xE000:
+            x = f"a{chr(k)}b {chr(k)} 1{chr(k)}"
+            assert fast(x) == whole(x), hex(k)
+    for x in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist():
+        assert fast(x) == whole(x)
+    assert fast("<|endoftext|> a<|endoftext|>") == whole("<|endoftext|> a<|endoftext|>")
+    assert C.rank_encoder(P.path("word_bpe_49k.json")) is None
