@@ -1,22 +1,23 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are cut into pre-tokens. Tasks gather documents into blocks and keep the
-pre-tokens' order as positions in the block's word list; only (block, number,
-word) rows go to the word shuffle, in which each distinct word is encoded once.
-A word that is everywhere, even one with a third of all pre-tokens, is there
-once for each block, so no group grows with the tokens; adaptive skew joins
-split what remains. Ids are joined back to the words, gathered by block and put
-together by position. Decoding joins ids to the token-byte table, which has one
-row for each vocabulary entry and is broadcast (its size is checked).
-
-Edge cases: a null text is the empty text (no tokens); very long texts are a
-block of their own; repeated rows stay; other columns are ignored; an empty
-table gives an empty result; a null doc_id stays null.
+pre-tokens' order as positions in the block's list of distinct words; the words
+go to the word shuffle, packed by hash bucket, so that each distinct word is in
+one task and is encoded there once. Their ids travel back by block, are joined
+to the positions and put together. A word that is everywhere, even one with a
+third of all pre-tokens, is sent once for each block, so no group grows with
+the tokens. Decoding joins ids to the token-byte table, which has one row for
+each vocabulary entry and is broadcast (its size is checked).
+
+Edge cases: a null text is the empty text (no tokens); a very long text is a
+block of its own; repeated rows stay; other columns are ignored; an empty table
+gives an empty result; a null doc_id stays null.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
-
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 23
+MOST_KNOWN = 2_000_000
 MOST_VOCABULARY_BYTES = 64 << 20
 
 HEAD = -1
@@ -46,7 +46,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def pack(numbers: np.ndarray) -> bytes:
     """uint32 numbers as four byte planes, compressed: small numbers leave the upper planes empty."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -63,12 +63,27 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.nd
     return flat[at], ends
 
 
-_BLOCK_SCHEMA = "block long, idx int, data binary, ids array<{kind}>, counts array<int>"
+def hide_singles(ranks: np.ndarray, often: int) -> np.ndarray:
+    """Words that occur once have the ranks from ``often`` on, in order of occurrence: a zero says enough."""
+    return np.where(ranks >= often, 0, ranks + 1).astype(np.uint32)
+
+
+def show_singles(numbers: np.ndarray, words: int) -> np.ndarray:
+    single = np.flatnonzero(numbers == 0)
+    ranks = numbers.astype(np.int64) - 1
+    ranks[single] = np.arange(words - len(single), words)
+    return ranks
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=9).compress(data)
+
 
+def _rows(kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("ids", pa.list_(kind))])
 
-def _blocks(pattern: str, kind: pa.DataType):
-    arrow = pa.schema([("block", pa.int64()), ("idx", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(kind)), ("counts", pa.list_(pa.int32()))])
 
+def _blocks(pattern: str, kind: pa.DataType, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -76,19 +91,26 @@ def _blocks(pattern: str, kind: pa.DataType):
         part, made = TaskContext.get().partitionId() << 32, 0
         ids, counts, tokens, number, chars = [], [], [], {}, 0
 
-        def block() -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
             first = np.array(tokens, dtype=np.uint32)
             often = np.bincount(first, minlength=len(number))
             by_use = np.argsort(-often, kind="stable")  # frequent words get small numbers
             rank = np.empty(len(number), dtype=np.uint32)
             rank[by_use] = np.arange(len(number), dtype=np.uint32)
-            words = list(number)
-            here = part | made
-            yield pa.RecordBatch.from_arrays([pa.array([here]), pa.array([HEAD], pa.int32()), pa.array([pack(rank[first])], pa.binary()), pa.array([ids], pa.list_(kind)), pa.array([counts], pa.list_(pa.int32()))], schema=arrow)
-            for at in range(0, len(words), 20000):
-                some = [words[k].encode("utf-8", "surrogatepass") for k in by_use[at : at + 20000]]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, here)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(some, pa.binary()), pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.list_(pa.int32()))], schema=arrow)
+            words = [w.encode("utf-8", "surrogatepass") for w in number]
+            words = [words[k] for k in by_use.tolist()]
+            where = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
+            rows = [(part | made, HEAD, pack(hide_singles(rank[first], int((often > 1).sum()))), pack(np.array(counts, dtype=np.uint32)), b"", ids)]
+            order = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[order], np.arange(buckets + 1))
+            for k in range(buckets):
+                ranks = order[edges[k] : edges[k + 1]]
+                if len(ranks):
+                    some = [words[r] for r in ranks.tolist()]
+                    sizes = np.fromiter(map(len, some), dtype=np.uint32, count=len(some))
+                    rows.append((part | made, k, pack(np.diff(ranks, prepend=0).astype(np.uint32)), pack(sizes), squeeze(b"".join(some)), None))
+            schema = _rows(kind)
+            return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), schema)], schema=schema)
 
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -98,77 +120,104 @@ def _blocks(pattern: str, kind: pa.DataType):
                 tokens += [number.setdefault(w, len(number)) for w in found]
                 chars += len(t or "") + 100
                 if chars >= BLOCK_CHARS:
-                    yield from block()
+                    yield block()
                     made += 1
                     ids, counts, tokens, number, chars = [], [], [], {}, 0
         if ids:
-            yield from block()
+            yield block()
 
     return run
 
 
 def _encode_words(ranks, pattern: str):
+    """Words of each row to their ids; a word is in one bucket, so in one task, and is encoded there once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._core_bpe.encode_single_piece
-        for b in batches:
-            words = b.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([np.array(encode(w), dtype="<u4").tobytes() for w in words], pa.binary())], ["word", "code"])
+        known: dict[bytes, list[int]] = {}
+        for batch in batches:
+            sizes, codes = [], []
+            for bucket, b, c in zip(*(batch.column(n).to_pylist() for n in ("bucket", "b", "c"))):
+                if bucket == HEAD:
+                    sizes.append(b)
+                    codes.append(c)
+                    continue
+                if len(known) > MOST_KNOWN:  # bounds the memory; a word met again is encoded again
+                    known.clear()
+                data, at, flat, lengths = zstandard.ZstdDecompressor().decompress(c), 0, [], []
+                for n in unpack(b).tolist():
+                    w = data[at : at + n]
+                    at += n
+                    code = known.get(w)
+                    if code is None:
+                        code = known[w] = encode(w)
+                    flat += code
+                    lengths.append(len(code))
+                sizes.append(pack(np.array(lengths, dtype=np.uint32)))
+                codes.append(pack(np.array(flat, dtype=np.uint32)))
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.binary()) if n == "b" else pa.array(codes, pa.binary()) if n == "c" else batch.column(n) for n in names], names)
 
     return run
 
 
 def _assemble(kind: pa.DataType):
-    arrow = pa.schema([("doc_id", kind), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", kind), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, codes = None, []
+        head, found = None, []
 
         def docs() -> Iterator[pa.RecordBatch]:
-            data, ids, counts = head
-            order = unpack(data)
-            sizes = np.array([len(c) >> 2 for c in codes], dtype=np.int64)
-            starts = np.cumsum(sizes) - sizes
-            flat, ends = gather(np.frombuffer(b"".join(codes), dtype="<u4"), starts, sizes, order)
-            last = np.concatenate([[0], ends])[np.cumsum(counts, dtype=np.int64)] if counts else []
-            spans = [(int(a), int(z)) for a, z in zip([0, *last[:-1]], last)]
-            for at in range(0, len(ids), 500):
-                some = spans[at : at + 500]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], kind), pa.array([z - a for a, z in some], pa.int64()), pa.array([flat[a:z].tobytes() for a, z in some], pa.binary())], schema=arrow)
-
-        for b in batches:
-            at = 0
-            idx = b.column("idx").to_numpy(zero_copy_only=False)
-            heads = np.flatnonzero(idx == HEAD)
-            data = b.column("data").to_pylist()
-            for h in heads:
-                codes += data[at:h]
-                if head is not None:
-                    yield from docs()
-                head, codes, at = (data[h], b.column("ids")[int(h)].as_py(), b.column("counts")[int(h)].as_py()), [], h + 1
-            codes += data[at:]
+            counts, ids = unpack(head[1]), head[2]
+            ranks = np.concatenate([np.cumsum(unpack(a), dtype=np.int64) for a, _, _ in found]) if found else np.zeros(0, dtype=np.int64)
+            order = show_singles(unpack(head[0]), len(ranks))
+            sizes = np.concatenate([unpack(b) for _, b, _ in found]).astype(np.int64) if found else ranks
+            flat = np.concatenate([unpack(c) for _, _, c in found]) if found else np.zeros(0, dtype="<u4")
+            by_rank, by_size = np.empty(len(ranks), dtype=np.int64), np.empty(len(ranks), dtype=np.int64)
+            by_rank[ranks], by_size[ranks] = np.cumsum(sizes) - sizes, sizes
+            token_ends = np.cumsum(counts, dtype=np.int64)
+            for at in range(0, len(ids), 200):
+                low = int(token_ends[at - 1]) if at else 0
+                some = token_ends[at : at + 200]
+                data, ends = gather(flat, by_rank, by_size, order[low : int(some[-1])])
+                last = np.concatenate([[0], ends])[some - low].tolist()
+                spans = list(zip([0, *last[:-1]], last))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 200], kind), pa.array([z - a for a, z in spans], pa.int64()), pa.array([data[a:z].tobytes() for a, z in spans], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for k, (bucket, a, b, c) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("bucket", "a", "b", "c")))):
+                if bucket == HEAD:
+                    if head is not None:
+                        yield from docs()
+                    head, found = (a, b, batch.column("ids")[k].as_py()), []
+                else:
+                    found.append((a, b, c))
         if head is not None:
             yield from docs()
 
     return run
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """One word bucket for each 8 MB of estimated input, from 16 to 4096."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(4096, max(16, size >> 23))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row; ids are little-endian unsigned 32-bit integers."""
-    spark = docs.sparkSession
-    kind_name = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    blocks = cut(docs.select("doc_id", "text").mapInArrow(_blocks(pattern, kind), _BLOCK_SCHEMA.format(kind=kind_name)))
-    shared = spark.sparkContext.broadcast(ranks)
-    heads = blocks.filter(F.col("idx") == HEAD)
-    used = blocks.filter(F.col("idx") != HEAD).select("block", "idx", F.col("data").alias("word"))
-    codes = used.select("word").distinct().mapInArrow(_encode_words(shared, pattern), "word binary, code binary")
-    coded = used.join(codes, "word").select("block", "idx", F.col("code").alias("data"), F.lit(None).cast(heads.schema["ids"].dataType).alias("ids"), F.lit(None).cast("array<int>").alias("counts"))
-    ordered = heads.unionByName(coded).repartition("block").sortWithinPartitions("block", "idx")
-    return ordered.mapInArrow(_assemble(kind), f"doc_id {kind_name}, n_tokens long, ids binary")
+    kind, name = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
+    rows = f"block long, bucket int, a binary, b binary, c binary, ids array<{name}>"
+    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(pattern, kind, bucket_count(docs)), rows)
+    # words meet by bucket; the heads of the blocks travel along, spread by block
+    met = blocks.repartition(F.when(F.col("bucket") == HEAD, F.xxhash64("block")).otherwise(F.col("bucket").cast("long")))
+    coded = met.mapInArrow(_encode_words(docs.sparkSession.sparkContext.broadcast(ranks), pattern), rows)
+    ordered = coded.repartition("block").sortWithinPartitions("block", "bucket")
+    return ordered.mapInArrow(_assemble(kind), f"doc_id {name}, n_tokens long, ids binary")
 
 
 def _decode(table):
