@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 1000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` on pieces of at most ``rows`` rows; the worker gives its free memory back at the end of the task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, rows):
+                    yield b.slice(at, rows)
+
+        try:
+            yield from run(pieces())
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc: nothing to do
+                pass
+
+    return wrapped
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors share."""
     ensure_checkpoint_dir(spark)

@@ -27,7 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 1 << 23
+from ._common import lean
+
+BLOCK_CHARS = 7 << 20
 MOST_KNOWN = 2_000_000
 MOST_VOCABULARY_BYTES = 64 << 20
 
@@ -46,7 +48,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def pack(numbers: np.ndarray) -> bytes:
     """uint32 numbers as four byte planes, compressed: small numbers leave the upper planes empty."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -76,7 +78,7 @@ def show_singles(numbers: np.ndarray, words: int) -> np.ndarray:
 
 
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=9).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def _rows(kind: pa.DataType) -> pa.Schema:
@@ -120,9 +122,10 @@ def _blocks(pattern: str, kind: pa.DataType, buckets: int):
                 tokens += [number.setdefault(w, len(number)) for w in found]
                 chars += len(t or "") + 100
                 if chars >= BLOCK_CHARS:
-                    yield block()
+                    out = block()
                     made += 1
-                    ids, counts, tokens, number, chars = [], [], [], {}, 0
+                    ids, counts, tokens, number, chars = [], [], [], {}, 0  # freed before the rows are sent
+                    yield out
         if ids:
             yield block()
 
@@ -212,12 +215,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     kind, name = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
     rows = f"block long, bucket int, a binary, b binary, c binary, ids array<{name}>"
-    blocks = docs.select("doc_id", "text").mapInArrow(_blocks(pattern, kind, bucket_count(docs)), rows)
+    blocks = docs.select("doc_id", "text").mapInArrow(lean(_blocks(pattern, kind, bucket_count(docs))), rows)
     # words meet by bucket; the heads of the blocks travel along, spread by block
     met = blocks.repartition(F.when(F.col("bucket") == HEAD, F.xxhash64("block")).otherwise(F.col("bucket").cast("long")))
-    coded = met.mapInArrow(_encode_words(docs.sparkSession.sparkContext.broadcast(ranks), pattern), rows)
+    coded = met.mapInArrow(lean(_encode_words(docs.sparkSession.sparkContext.broadcast(ranks), pattern), 100), rows)
     ordered = coded.repartition("block").sortWithinPartitions("block", "bucket")
-    return ordered.mapInArrow(_assemble(kind), f"doc_id {name}, n_tokens long, ids binary")
+    return ordered.mapInArrow(lean(_assemble(kind), 100), f"doc_id {name}, n_tokens long, ids binary")
 
 
 def _decode(table):
@@ -243,4 +246,4 @@ def _decode(table):
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` with its ``ids`` joined to the token-byte table and put together as ``decoded``."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decode(encoded.sparkSession.sparkContext.broadcast(ranks)), f"{schema}, decoded binary")
+    return encoded.mapInArrow(lean(_decode(encoded.sparkSession.sparkContext.broadcast(ranks))), f"{schema}, decoded binary")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, skew_join
+from ._common import cut, lean, skew_join
 
 WORDS = 5
 SHARE = 0.8
@@ -58,7 +58,7 @@ def shingles(words: list[bytes]) -> set[bytes]:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -194,7 +194,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, share: float = SHARE)
     spark = docs.sparkSession
     factors = multipliers(functions_needed(share))
     asked = items.select("item_id", F.col("text").alias("item_text")).withColumn("item_h", F.xxhash64("item_text"))
-    per_item = cut(asked.select("item_h", "item_text").distinct().mapInArrow(_item_rows(factors), "item_h long, class int, keys array<long>"))
+    per_item = cut(asked.select("item_h", "item_text").distinct().mapInArrow(lean(_item_rows(factors)), "item_h long, class int, keys array<long>"))
     classes = sorted(r[0] for r in per_item.select("class").filter("class is not null").distinct().collect())  # at most 32 powers of two
     if not classes:
         return None
@@ -209,13 +209,13 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, share: float = SHARE)
     kind = docs.schema["doc_id"].dataType.simpleString()
     hits = cut(
         docs.select("doc_id", F.xxhash64("text").alias("th"), "text").filter("text is not null")
-        .mapInArrow(_hits(spark.sparkContext.broadcast(table.tobytes()), bits, classes, factors), f"doc_id {kind}, th long, text string, keys array<long>")
+        .mapInArrow(lean(_hits(spark.sparkContext.broadcast(table.tobytes()), bits, classes, factors)), f"doc_id {kind}, th long, text string, keys array<long>")
     )
     texts = hits.dropDuplicates(["th"])
     pairs = texts.select("th", F.explode("keys").alias("key")).join(keys, "key").select("th", "item_h").distinct()
     ready = pairs.join(asked, "item_h").join(texts.select("th", "text"), "th").select("th", "text", "item_id", "item_text")
     kind = items.schema["item_id"].dataType.simpleString()
-    verified = ready.mapInArrow(_verify, f"th long, item_id {kind}, n_shared long, n_shingles long").filter(F.col("n_shared") >= share * F.col("n_shingles"))
+    verified = ready.mapInArrow(lean(_verify), f"th long, item_id {kind}, n_shared long, n_shingles long").filter(F.col("n_shared") >= share * F.col("n_shingles"))
     best = verified.groupBy("th", "item_id").agg(F.max_by(F.struct("n_shared", "n_shingles"), F.struct(F.col("n_shared") / F.col("n_shingles"), "n_shingles")).alias("m"))
     return hits.select("doc_id", "th").distinct(), best.select("th", "item_id", "m.*")
 

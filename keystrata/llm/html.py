@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lean
+
 SAMPLE_PAGES = 400
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -321,7 +323,7 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most ``sample`` pages that declare their content."""
     declared = pages.filter(F.lower("html").rlike("<(article|main)[ >]")).select("html", F.xxhash64("url").alias("o"))
-    rows = declared.orderBy("o").limit(sample).mapInArrow(_sample_counts, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()  # as many rows as kinds
+    rows = declared.orderBy("o").limit(sample).mapInArrow(lean(_sample_counts), "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()  # as many rows as kinds
     return weights_from({(r.kind, r.inside): r.n for r in rows})
 
 
@@ -335,4 +337,4 @@ def main_text(pages: DataFrame, weights: dict[str, float] | None = None) -> Data
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long")

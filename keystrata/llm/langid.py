@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, skew_join
+from ._common import cut, lean, skew_join
 
 SAMPLE_PER_LANGUAGE = 500
 MOST_LANGUAGES = 64
@@ -74,7 +74,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     per_part = SAMPLE_PER_LANGUAGE // 64 + 1
     ids = picked.select("lang", "doc_id", "_o").withColumn("_k", F.row_number().over(part)).filter(F.col("_k") <= per_part).select(F.col("_o").alias("_po"), F.col("doc_id").alias("_pid"))
     chosen = picked.join(F.broadcast(ids.distinct()), (F.col("_o") == F.col("_po")) & F.col("doc_id").eqNullSafe(F.col("_pid")), "left_semi")  # at most MOST_LANGUAGES * (SAMPLE_PER_LANGUAGE + 64) rows
-    found = chosen.select("lang", "text").mapInArrow(_sample_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = chosen.select("lang", "text").mapInArrow(lean(_sample_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(languages)), 0.5)
     for lang, bucket, n in zip(found["lang"].to_pylist(), found["bucket"].to_pylist(), found["n"].to_pylist()):
         table[bucket, languages.index(lang)] += n
@@ -111,7 +111,7 @@ def best(scores: Column, languages: list[str]) -> Column:
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray, ids: list[str], markup: bool) -> DataFrame:
     """``rows`` (ids, text, host, declared, suffix) to (ids, host, declared, suffix, ll), cut to a checkpoint by the caller."""
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*ids, "host", "declared", "suffix"])
-    return rows.select(*ids, "host", "declared", "suffix", "text").mapInArrow(_likelihoods(model, markup), f"{kinds}, ll array<double>")
+    return rows.select(*ids, "host", "declared", "suffix", "text").mapInArrow(lean(_likelihoods(model, markup)), f"{kinds}, ll array<double>")
 
 
 def fuse(evidence: DataFrame, languages: list[str], ids: list[str]) -> DataFrame:

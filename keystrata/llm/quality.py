@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lean
+
 SAMPLE_DOCS = 2000
 SAMPLE_LINES = 64
 CONTENT_SHARE = 0.5
@@ -206,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Line
     picked = picked.withColumn("_o", F.xxhash64("doc_id")).orderBy("_o").limit(sample).withColumnRenamed("doc_id", "_id")
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("quality", "_o", "text")
-        .mapInArrow(_sample_features, "quality int, o long, features array<array<int>>").orderBy("o", F.hash("features")).limit(2 * sample).collect()
+        .mapInArrow(lean(_sample_features), "quality int, o long, features array<array<int>>").orderBy("o", F.hash("features")).limit(2 * sample).collect()
     )
     return LineCRF.fit([r.features for r in rows], [int(r.quality) for r in rows])
 
@@ -229,7 +231,7 @@ def _judge(crf: LineCRF, share: float):
 def assess(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
     """doc_id, the counts and the verdict for every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_judge(train(docs, labels), share), f"doc_id {kind}, {VERDICT}")
+    return docs.select("doc_id", "text").mapInArrow(lean(_judge(train(docs, labels), share)), f"doc_id {kind}, {VERDICT}")
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
@@ -240,4 +242,4 @@ def keep_documents(docs: DataFrame, labels: DataFrame, share: float = CONTENT_SH
         for b in batches:
             yield b.filter(pa.array([judge(t, crf, share)[6] for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, skew_join
+from ._common import cut, lean, skew_join
 from .components import connected_components
 
 SEED = 42
@@ -61,7 +61,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(_fingerprints), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def block_masks(radius: int, keep: int) -> list[int]:
@@ -180,7 +180,7 @@ def links(entries: DataFrame, radius: int = 3, keep: int = 2, tree_size: int = 4
         "mask", "part", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).alias("asked"), "fp"
     )
     ordered = sent.repartition("mask", "part", "i", "j").sortWithinPartitions("mask", "part", "i", "j", "asked", "fp")
-    return ordered.mapInArrow(_search(radius), "a long, b long")
+    return ordered.mapInArrow(lean(_search(radius), 10_000), "a long, b long")
 
 
 def components(docs: DataFrame, radius: int = 3, keep: int = 2, tree_size: int = 4096) -> DataFrame:
