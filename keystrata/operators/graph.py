@@ -28,7 +28,7 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataF
     Each round expands only what was new in the round before. A deep chain
     (rounds beyond ``most_rounds``) is finished by pointer doubling.
     """
-    links = edges.select("parent", "child").distinct()
+    links = _cut(edges.select("parent", "child").distinct())  # read in every round, so made once
     frontier = _cut(roots.select("key").distinct().withColumn("depth", F.lit(0).cast("long")))
     parts, seen, depth = [frontier], frontier, 0
     while depth < most_rounds:

@@ -70,4 +70,4 @@ def disk_usage(entries: DataFrame) -> DataFrame:
 def aligned(rows: DataFrame, column: str, by: str) -> DataFrame:
     """``column`` right-aligned to the widest of its group."""
     width = F.max(F.length(column)).over(Window.partitionBy(by))
-    return rows.withColumn(column, F.concat(F.expr(f"repeat(' ', cast(0 as int))"), F.lpad(F.col(column), width, F.lit(" "))))
+    return rows.withColumn(column, F.lpad(F.col(column), width, F.lit(" ")))

@@ -77,14 +77,15 @@ def line_chunk_dedup(spark, d):
 
 
 @query(f"""
-with b as (select doc_id as pos, source, {GIT_KEY} as k, octet_length(encode(text)) as size from documents where doc_id % 3 <> 0),
-s as (select distinct {GIT_KEY} as k from documents where doc_id % 3 = 0),
+with b as (select doc_id as pos, source, {GIT_KEY} as k, octet_length(encode(text)) as size from documents),
+s as (select distinct {GIT_KEY} as k from documents where doc_id in (select doc_id from labels)),
 c as (select *, row_number() over (partition by k order by pos) = 1 and k not in (select k from s) as n from b)
 select source, count_if(n)::bigint as stored, count_if(not n)::bigint as deduped, coalesce(sum(size) filter (n), 0)::bigint as bytes_stored from c group by source""")
 def write_batch_stats(spark, d):
-    """A batch of two thirds of the documents written to a store with the others."""
+    """All documents written to a store that has the labelled ones."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "source", K.hex_key(K.git_blob_key(F.col("text"))).alias("key"), F.octet_length("text").cast("long").alias("size"))
-    return store.write_stats(store.classify_batch(docs.filter("pos % 3 <> 0"), docs.filter("pos % 3 = 0")), "source")
+    labelled = table(spark, d, "labels").select(F.col("doc_id").alias("pos"))
+    return store.write_stats(store.classify_batch(docs, docs.join(labelled, "pos", "left_semi")), "source")
 
 
 @query(f"select pos, key from {D.duck(D.ASKED)} a where exists (select 1 from {D.duck(D.STORED)} s where s.key = a.key)")
@@ -109,19 +110,15 @@ def stored_size(spark, d):
     return store.stored_size(_rel(spark, d, D.ASKED).distinct(), _rel(spark, d, D.STORED)).select("pos", "key", "stored_size")
 
 
-@query(f"select distinct key from {D.duck(D.INDEX)} a where seg_id = 3 and exists (select 1 from {D.duck(D.INDEX)} b where b.key = a.key and b.seg_id <> 3)")
+@query(f"select distinct seg_id, key from {D.duck(D.INDEX)} a where exists (select 1 from {D.duck(D.INDEX)} b where b.key = a.key and b.seg_id <> a.seg_id)")
 def has_outside(spark, d):
     index = _rel(spark, d, D.INDEX)
-    return store.has_outside(index.filter("seg_id = 3").select("seg_id", "key"), index).select("key").distinct()
+    return store.has_outside(index.select("seg_id", "key").distinct(), index).select("seg_id", "key")
 
 
-@query(f"select row_number() over (order by seg_id nulls last, off nulls last, pos) as place, pos, a.key from {D.duck(D.ASKED)} a left join {D.duck(D.STORED)} s on s.key = a.key where pos < 500")
+@query(f"select pos, a.key, seg_id, off from {D.duck(D.ASKED)} a left join {D.duck(D.STORED)} s on s.key = a.key")
 def sort_by_location(spark, d):
-    from pyspark.sql import Window
-
-    placed = store.sort_by_location(_rel(spark, d, D.ASKED).filter("pos < 500"), _rel(spark, d, D.STORED))
-    w = Window.orderBy(F.col("seg_id").asc_nulls_last(), F.col("off").asc_nulls_last(), "pos")  # a numbered report
-    return placed.select(F.row_number().over(w).cast("long").alias("place"), "pos", "key")
+    return store.sort_by_location(_rel(spark, d, D.ASKED), _rel(spark, d, D.STORED)).select("pos", "key", "seg_id", "off")
 
 
 @query(f"select seg_id, max(sealed_at) as sealed_at, sum(46 + slen)::bigint as body_bytes, count(*)::bigint as n_keys from {D.duck(D.INDEX)} group by seg_id")
@@ -142,10 +139,10 @@ def verify_records(spark, d):
 
 
 @query(
-    "select doc_id % 7 as seg_id, concat('d', doc_id) as key, doc_id as off, case when doc_id % 5 = 0 then 'not indexed' else 'no record' end as fault from documents where (doc_id % 5 = 0) <> (doc_id % 11 = 0)"
+    "select doc_id % 7 as seg_id, concat('d', doc_id) as key, doc_id as off, case when lang <> 'fr' then 'not indexed' else 'no record' end as fault from documents where (lang <> 'fr') <> (doc_id in (select doc_id from labels))"
 )
 def index_faults(spark, d):
-    records = table(spark, d, "documents").filter("doc_id % 11 <> 0").selectExpr("doc_id % 7 as seg_id", "concat('d', doc_id) as key", "doc_id as off")
+    records = table(spark, d, "documents").filter("lang <> 'fr'").selectExpr("doc_id % 7 as seg_id", "concat('d', doc_id) as key", "doc_id as off")
     return store.index_faults(_rel(spark, d, D.STORED), records)
 
 
@@ -162,9 +159,10 @@ def list_entries(spark, d):
     return tree.list_entries(_rel(spark, d, D.ENTRIES), F.lit("f000000050"), 5).select("dir", "name", "doc_id", "rank", "more")
 
 
-@query(f"select l.doc_id, e.size from labels l join {D.duck(D.ENTRIES)} e on e.dir = 'src1/en' and e.name = concat('f', lpad(cast(l.doc_id as varchar), 9, '0'))")
+@query(f"select x.doc_id, e.size from (select distinct doc_id from labels) x join documents d using (doc_id) join {D.duck(D.ENTRIES)} e on e.dir = concat(d.source, '/', d.lang) and e.name = concat('f', lpad(cast(x.doc_id as varchar), 9, '0'))")
 def lookup_entry(spark, d):
-    asked = table(spark, d, "labels").select(F.lit("src1/en").alias("dir"), F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"))
+    labelled = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    asked = labelled.select(F.concat("source", F.lit("/"), "lang").alias("dir"), F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("name"))
     return tree.lookup_entry(asked, _rel(spark, d, D.ENTRIES)).select("doc_id", "size")
 
 
@@ -323,13 +321,13 @@ def refs_put_batch(spark, d):
 
 
 @query("""
-with now as (select c_custkey, concat('k', c_nationkey) as now from customer where c_custkey % 4 <> 0)
-select e.c_custkey, concat('k', case when e.c_custkey % 10 = 0 then 99 else e.c_nationkey end) is not distinct from now as ok, now from customer e left join now using (c_custkey) where e.c_custkey % 4 <> 1 or e.c_custkey % 3 = 0""")
+with now as (select c_custkey, concat('k', c_nationkey) as now from customer where c_acctbal > 0)
+select e.c_custkey, concat('k', case when c_mktsegment = 'BUILDING' then 99 else e.c_nationkey end) is not distinct from now as ok, now from customer e left join now using (c_custkey)""")
 def refs_check(spark, d):
     """Expectations of a compare-and-swap batch against what is there."""
     c = table(spark, d, "customer")
-    now = c.filter("c_custkey % 4 <> 0").selectExpr("c_custkey as name", "concat('k', c_nationkey) as key")
-    asked = c.filter("c_custkey % 4 <> 1 or c_custkey % 3 = 0").selectExpr("c_custkey as name", "concat('k', case when c_custkey % 10 = 0 then 99 else c_nationkey end) as old")
+    now = c.filter("c_acctbal > 0").selectExpr("c_custkey as name", "concat('k', c_nationkey) as key")
+    asked = c.selectExpr("c_custkey as name", "concat('k', case when c_mktsegment = 'BUILDING' then 99 else c_nationkey end) as old")
     return refs.check(now, asked).select(F.col("name").alias("c_custkey"), "ok", "now")
 
 

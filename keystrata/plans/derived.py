@@ -23,11 +23,11 @@ LIVE = """select concat('p', p_partkey) as "key" from {part} where p_size > 20""
 REFS = """select concat('ref-', lower(r_name)) as name, concat('r', r_regionkey) as "key" from {region}"""
 PRESENT = """
 select concat('r', r_regionkey) as "key" from {region} union all select concat('n', n_nationkey) from {nation}
-union all select concat('c', c_custkey) from {customer} where c_custkey % 97 <> 5 union all select concat('o', o_orderkey) from {orders}
+union all select concat('c', c_custkey) from {customer} where c_acctbal > -900 union all select concat('o', o_orderkey) from {orders}
 union all select concat('p', p_partkey) from {part} where p_size <> 13 union all select concat('s', s_suppkey) from {supplier}
 """
 ASKED = """select l.doc_id as pos, concat('d', l.doc_id * 3) as "key" from {labels} l union all select item_id * 2, concat('d', item_id) from {benchmark}"""
-STORED = """select concat('d', doc_id) as "key", doc_id % 7 as seg_id, doc_id as off, n_chars as slen from {documents} where doc_id % 5 <> 0"""
+STORED = """select concat('d', doc_id) as "key", doc_id % 7 as seg_id, doc_id as off, n_chars as slen from {documents} where doc_id in (select doc_id from {labels})"""
 ENTRIES = """select concat(source, '/', lang) as dir, source as top, concat('f', lpad(cast(doc_id as varchar(20)), 9, '0')) as name, doc_id, n_chars as size from {documents}"""
 UPDATES = """select concat('conv-', conv_id) as name, turn as pos, concat(role, '-', turn) as "key", role as "user", conv_id * 1000 + turn as created_at_ns from {conversations}"""
 
