@@ -366,6 +366,43 @@ def inbox_batch(spark, d):
     return per.groupBy("root").agg(F.count(F.lit(1)).alias("accepted"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
+@query("select * from (select conv_id as dir, turn as pos, text as name, lag(text) over (partition by conv_id order by turn) as before from conversations) where name <= before".replace("select * from", "select dir, pos, name from"))
+def order_faults(spark, d):
+    """Entries whose name does not exceed the one before it (a conversation as a directory, its texts as names)."""
+    return tree.order_faults(table(spark, d, "conversations").selectExpr("conv_id as dir", "turn as pos", "text as name"))
+
+
+@query(f"select pos, key from {D.duck(D.ASKED)} a where exists (select 1 from {D.duck(D.STORED)} s where s.key = a.key and s.slen >= 1000)")
+def has_durably(spark, d):
+    """Asked keys with a copy in durable storage (here: records of 1000 bytes or more)."""
+    return store.has_durably(_rel(spark, d, D.ASKED), _rel(spark, d, D.STORED).withColumn("durable", F.col("slen") >= 1000))
+
+
+@query(f"with i as {D.duck(D.INDEX)}, v as (select seg_id from i group by seg_id having count(*) > (select count(*) / 32.0 from i)) select distinct key from i a where seg_id in (select seg_id from v) and exists (select 1 from i b where b.key = a.key and b.slen > 100 and b.seg_id not in (select seg_id from v))")
+def good_survivors(spark, d):
+    """Keys of the larger packs that have a good copy in a smaller one."""
+    index = _rel(spark, d, D.INDEX)
+    sizes = graph._cut(index.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")))
+    victims = sizes.filter(F.col("n") > (sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / 32.0)).select("seg_id")
+    return store.good_survivors(index.join(victims, "seg_id", "left_semi"), index, victims, F.col("slen") > 100).select("key").distinct()
+
+
+@query("select distinct concat('c', o_custkey) as key from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where s_acctbal < 0")
+def reaches(spark, d):
+    """Customers that reach a supplier in debt."""
+    roots = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("key"))
+    keys = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("key"))
+    return graph.reaches(_rel(spark, d, D.EDGES), roots, keys)
+
+
+@query("select p_partkey, (p_size * 3600 + p_partkey % 60 * 60)::bigint * 1000000000 + 250000000 as ns, case when p_brand is null then null else p_brand end as name, concat(lower(p_type), '@x.org') as email from part")
+def parsed_texts(spark, d):
+    """Durations and identities read back from text."""
+    p = table(spark, d, "part")
+    who = R.parse_identity(F.concat("p_brand", F.lit(" <"), F.lower("p_type"), F.lit("@x.org>")))
+    return p.select("p_partkey", R.parse_duration(F.concat(F.col("p_size").cast("string"), F.lit("h"), (F.col("p_partkey") % 60).cast("string"), F.lit("m250ms"))).alias("ns"), who["name"].alias("name"), who["email"].alias("email"))
+
+
 def queries() -> dict[str, Query]:
     return {**_FOUND, **native.queries()}
 
