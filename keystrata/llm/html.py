@@ -80,7 +80,7 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
 def tokens(page: str) -> Iterator[tuple]:
     """("text", decoded, element) and ("tag", name, element, closing) in page order."""
     root = _Element("", False, False, False, 0, None)
-    top, made, at, n = root, 0, 0, len(page)
+    top, made, at, n, had_root = root, 0, 0, len(page), False
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -142,15 +142,19 @@ def tokens(page: str) -> Iterator[tuple]:
             made += 1
             inside = top.root
             is_root = name in CONTENT and not _is_boilerplate(name, attributes, inside)
-            off = False if is_root and not _declared_off(top) else top.off or _is_boilerplate(name, attributes, inside)
+            off = False if is_root and not _declared_off(top, had_root) else top.off or _is_boilerplate(name, attributes, inside)
+            had_root = had_root or is_root and not off
             top = _Element(name, off, (top.root or is_root) and not off, top.link or name == "a", made, top)
         yield "tag", name, top, False
 
 
-def _declared_off(e: _Element) -> bool:
-    """An article inside an element that holds comments, related items or the like isn't the page's own."""
+def _declared_off(e: _Element, had_root: bool) -> bool:
+    """An article inside boilerplate isn't the page's own once that was seen (comments, related items), nor ever in an aside or the like.
+
+    Before the page's own article, the boilerplate around it was never closed.
+    """
     while e is not None and e.name:
-        if e.off and (e.name in BOILERPLATE or e.name in CONTENT or e.root):
+        if e.off and (had_root or e.name in ("aside", "footer", "dialog")):
             return True
         e = e.up
     return False

@@ -13,6 +13,8 @@ PAGES = {
     '<p>Text one two three four five &eacute;.</p><div class="ad">buy now</div><p>Text two.</p></div><div class="sidebar"><p>side text long long long</p></div>': "Head\nText one two three four five é.\nText two.",
     "<body><header>Site name</header><main><h1>Title</h1><p title='a>b'>Hello <i>w</i>orld &amp; all &lt;tag&gt; words.<p>Second <b>para.<br><p>Third.<form>name<input></form></main>"
     "<section id='comments'><article class='comment'>" + "many words here " * 30 + "</article></section><footer>f</footer>": "Title\nHello world & all <tag> words.\nSecond para.\nThird.",
+    "<nav><ul><li>Home<li>News</ul><article><h1>Own</h1><p>own words in the article here</article><section class='comments'><article><p>" + "a comment " * 50 + "</article></section>": "Own\nown words in the article here",
+    "<div class='ad'>buy<article><p>unclosed advert before this text</p></article>": "unclosed advert before this text",
 }
 
 
