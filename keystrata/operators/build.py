@@ -125,16 +125,16 @@ def tree_objects(files: DataFrame, bits: int = 7) -> tuple[DataFrame, DataFrame]
     Depth by depth from the deepest: each round builds all directories of one
     depth and hands their keys to the entries above.
     """
-    from .graph import _cut
+    from ..session import cut
 
-    content = _cut(file_objects(files, bits=bits))
+    content = cut(file_objects(files, bits=bits))
     parts = F.split("path", "/")
     rows = files.join(content.filter("is_root").select("path", F.col("key").alias("content_key")), "path").select(
         F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.encode(F.element_at(parts, -1), "UTF-8").alias("name"),
         F.col("mode").cast("long").alias("mode"), F.lit(0).cast("long").alias("uid"), F.lit(0).cast("long").alias("gid"), F.col("mtime_ns").cast("long").alias("mtime_ns"), "content_key",
     )
     level = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, "/")))
-    rows = _cut(rows.withColumn("depth", level("dir")))
+    rows = cut(rows.withColumn("depth", level("dir")))
     deepest = rows.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
     none = {"link_target": F.lit(None).cast("binary"), "rdev": F.lit(None).cast("array<long>"), "xattrs": F.lit(None).cast("array<struct<name: binary, value: binary>>")}
     objects, carried, root = content.select("key", "type", "data"), None, None
@@ -142,7 +142,7 @@ def tree_objects(files: DataFrame, bits: int = 7) -> tuple[DataFrame, DataFrame]
         here = rows.filter(F.col("depth") == depth).drop("depth")
         if carried is not None:
             here = here.unionByName(carried)
-        made = _cut(dir_objects(here.withColumns(none), bits))
+        made = cut(dir_objects(here.withColumns(none), bits))
         objects = objects.unionByName(made.select("key", "type", "data"))
         roots = made.filter("is_root").select("dir", F.col("key").alias("content_key"))
         up = F.split("dir", "/")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import graph
 from .store import RECORD_HEADER
 
@@ -104,9 +105,9 @@ def cycle(index: DataFrame, edges: DataFrame, refs: DataFrame, horizon: Column |
     live = graph.mark_live(edges, refs)
     if grey is not None:
         live = live.unionByName(grey.select("key")).distinct()
-    live = graph._cut(live)
-    scores = graph._cut(liveness(index, live))
-    chosen = graph._cut(select_victims(scores, horizon, ratio, budget))
+    live = cut(live)
+    scores = cut(liveness(index, live))
+    chosen = cut(select_victims(scores, horizon, ratio, budget))
     taken = scores.join(chosen.filter("taken").select("seg_id"), "seg_id", "left_semi")
     n, alive, dead = taken.agg(F.count(F.lit(1)), F.coalesce(F.sum("live_bytes"), F.lit(0)), F.coalesce(F.sum("dead_bytes"), F.lit(0))).first()
     return compact(index, live, chosen, new_seg), CycleStats(live.count(), scores.count(), n, alive, dead)

@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder (our own only in local mode) and go on from there."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="keystrata-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+from ..session import cut
 
 
 def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -28,18 +14,18 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataF
     Each round expands only what was new in the round before. A deep chain
     (rounds beyond ``most_rounds``) is finished by pointer doubling.
     """
-    links = _cut(edges.select("parent", "child").distinct())  # read in every round, so made once
-    frontier = _cut(roots.select("key").distinct().withColumn("depth", F.lit(0).cast("long")))
+    links = cut(edges.select("parent", "child").distinct())  # read in every round, so made once
+    frontier = cut(roots.select("key").distinct().withColumn("depth", F.lit(0).cast("long")))
     parts, seen, depth = [frontier], frontier, 0
     while depth < most_rounds:
         depth += 1
         step = frontier.select(F.col("key").alias("parent")).join(links, "parent").select(F.col("child").alias("key")).distinct()
-        frontier = _cut(step.join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        frontier = cut(step.join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
             return seen
         parts.append(frontier)
         if len(parts) > 8:  # keep the anti-join's plan short
-            parts = [_cut(_union(parts))]
+            parts = [cut(_union(parts))]
         seen = _union(parts)
     return _double(links, seen, frontier)
 
@@ -53,10 +39,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _double(links: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
     """Reach the rest in log2 rounds: jumps of twice the length each round, every reached key jumping at once."""
-    jumps, reached = _cut(links.withColumn("far", F.lit(1).cast("long"))), seen
+    jumps, reached = cut(links.withColumn("far", F.lit(1).cast("long"))), seen
     while True:
         more = reached.select(F.col("key").alias("parent"), "depth").join(jumps, "parent").select(F.col("child").alias("key"), (F.col("depth") + F.col("far")).alias("depth"))
-        after = _cut(reached.unionByName(more).groupBy("key").agg(F.min("depth").alias("depth")))
+        after = cut(reached.unionByName(more).groupBy("key").agg(F.min("depth").alias("depth")))
         grown = after.count() > reached.count()
         reached = after
         if not grown:
@@ -64,7 +50,7 @@ def _double(links: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame
             if step.join(reached, "key", "left_anti").isEmpty():
                 return reached
         twice = jumps.alias("a").join(jumps.alias("b"), F.col("a.child") == F.col("b.parent")).select(F.col("a.parent").alias("parent"), F.col("b.child").alias("child"), (F.col("a.far") + F.col("b.far")).alias("far"))
-        jumps = _cut(twice.groupBy("parent", "child").agg(F.min("far").alias("far")))
+        jumps = cut(twice.groupBy("parent", "child").agg(F.min("far").alias("far")))
 
 
 def reachable_keys(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import render as R
 from ..operators import gc, graph, refs, stats, store, tree
-from ..session import table
+from ..session import cut, table
 from . import derived as D
 from . import native
 
@@ -295,7 +295,7 @@ f(n, rest, seg_id, live_bytes, taken) as (select 0::bigint, (select sum(live_byt
 @query(f"with recursive {_VICTIMS} select seg_id, live_bytes, taken from f where n > 0")
 def select_victims(spark, d):
     """Packs worth copying, greedily under a budget of a third of all live bytes."""
-    scores = graph._cut(gc.liveness(_rel(spark, d, D.INDEX), _rel(spark, d, D.LIVE)))
+    scores = cut(gc.liveness(_rel(spark, d, D.INDEX), _rel(spark, d, D.LIVE)))
     budget = scores.agg(F.sum("live_bytes")).first()[0] or 0
     return gc.select_victims(scores, None, 0.4, budget // 3)
 
@@ -308,7 +308,7 @@ select seg_id, count(*)::bigint as n_keys, sum(slen)::bigint as bytes, max(seale
 def compact(spark, d):
     """The segments after compaction."""
     index, live = _rel(spark, d, D.INDEX), _rel(spark, d, D.LIVE)
-    scores = graph._cut(gc.liveness(index, live))
+    scores = cut(gc.liveness(index, live))
     budget = scores.agg(F.sum("live_bytes")).first()[0] or 0
     after = gc.compact(index, live, gc.select_victims(scores, None, 0.4, budget // 3), 1000)
     return after.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("slen").alias("bytes"), F.max("sealed_at").alias("sealed_at"))
@@ -382,7 +382,7 @@ def has_durably(spark, d):
 def good_survivors(spark, d):
     """Keys of the larger packs that have a good copy in a smaller one."""
     index = _rel(spark, d, D.INDEX)
-    sizes = graph._cut(index.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut(index.groupBy("seg_id").agg(F.count(F.lit(1)).alias("n")))
     victims = sizes.filter(F.col("n") > (sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / 32.0)).select("seg_id")
     return store.good_survivors(index.join(victims, "seg_id", "left_semi"), index, victims, F.col("slen") > 100).select("key").distinct()
 

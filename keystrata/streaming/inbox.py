@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blake3 import digest
 from ..functions.records import decode_payload, read_pack, verify_object
-from ..operators.graph import _cut
+from ..session import cut
 from ..operators.store import missing
 
 ROWS = "body string, root string, n int, key binary, data binary, error string"
@@ -59,7 +59,7 @@ class Inbox:
         return self.spark.read.schema("key binary, data binary, batch long").parquet(f"{self.path}/objects")
 
     def _take(self, batch: DataFrame, batch_id: int) -> None:
-        rows = _cut(batch.mapInPandas(unpack, ROWS))
+        rows = cut(batch.mapInPandas(unpack, ROWS))
         bad = rows.filter("error is not null").select("body", "root", "error").distinct()
         good = rows.join(bad.select("body"), "body", "left_anti")
         known = self._objects().filter(F.coalesce("batch", F.lit(-1)) != batch_id)
