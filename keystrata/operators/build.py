@@ -13,16 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cbor
-from ..functions.blake3 import length_of, object_key
+from ..functions.blake3 import digests, length_of, make_key, object_key
 from ..functions.chunking import ItemRuns, split_bytes
 from ..functions.keys import BLOB, DIR_LEAF, DIR_NODE, FILE_NODE, XATTR_SET
 
 OBJECTS = "key binary, type int, data binary"
 INLINE_XATTRS = 256
-
-
-def blob(data: bytes) -> tuple[bytes, int, bytes]:
-    return object_key(BLOB, len(data), data), BLOB, data
+FILES_AT_ONCE = 256
 
 
 def _index(items: list[tuple[bytes, bytes]], runs: ItemRuns, directory: bool) -> Iterator[tuple[bytes, int, bytes]]:
@@ -44,14 +41,27 @@ def _index(items: list[tuple[bytes, bytes]], runs: ItemRuns, directory: bool) ->
         items = upper
 
 
-def build_file(data: bytes, sizes: tuple[int, int, int] = (0, 0, 0), bits: int = 7) -> list[tuple[bytes, int, bytes]]:
-    """The objects of one file, its root last; an empty file is one empty blob."""
-    at, out, items = 0, [], []
+def cut_file(data: bytes, sizes: tuple[int, int, int]) -> list[bytes]:
+    """The chunks of one file; an empty file is one empty chunk."""
+    at, out = 0, []
     for n in split_bytes(data, *sizes) or [0]:
-        out.append(blob(data[at : at + n]))
-        items.append((b"", out[-1][0]))
+        out.append(data[at : at + n])
         at += n
-    return out + list(_index(items, ItemRuns(bits), False))
+    return out
+
+
+def build_files(files: list[bytes], sizes: tuple[int, int, int] = (0, 0, 0), bits: int = 7) -> Iterator[list[tuple[bytes, int, bytes]]]:
+    """For each file its objects, the root last; the chunks of all of them are hashed together."""
+    cuts = [cut_file(data, sizes) for data in files]
+    hashes = iter(digests([c for chunks in cuts for c in chunks]))
+    for chunks in cuts:
+        out = [(make_key(BLOB, len(c), next(hashes)), BLOB, c) for c in chunks]
+        yield out + list(_index([(b"", k) for k, _, _ in out], ItemRuns(bits), False))
+
+
+def build_file(data: bytes, sizes: tuple[int, int, int] = (0, 0, 0), bits: int = 7) -> list[tuple[bytes, int, bytes]]:
+    """The objects of one file, its root last."""
+    return next(build_files([data], sizes, bits))
 
 
 def build_dir(entries: list[dict], bits: int = 7) -> list[tuple[bytes, int, bytes]]:
@@ -90,9 +100,11 @@ def file_objects(files: DataFrame, sizes: tuple[int, int, int] = (0, 0, 0), bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["data"]):
-                made = build_file(bytes(data or b""), sizes, bits)
-                yield pd.DataFrame([(path, k, t, d, n == len(made) - 1) for n, (k, t, d) in enumerate(made)], columns=["path", "key", "type", "data", "is_root"])
+            for at in range(0, len(pdf), FILES_AT_ONCE):
+                part = pdf.iloc[at : at + FILES_AT_ONCE]
+                built = build_files([bytes(d or b"") for d in part["data"]], sizes, bits)
+                rows = [(path, k, t, d, n == len(made) - 1) for path, made in zip(part["path"], built) for n, (k, t, d) in enumerate(made)]
+                yield pd.DataFrame(rows, columns=["path", "key", "type", "data", "is_root"])
 
     return files.select("path", "data").mapInPandas(run, "path string, key binary, type int, data binary, is_root boolean")
 

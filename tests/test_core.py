@@ -65,6 +65,15 @@ def _crc(jvm, data):
     return c.getValue()
 
 
+def test_blake3_of_many(spark):
+    r = random.Random(4)
+    many = [r.randbytes(r.choice([0, 1, 64, 255, 256, 257, 1024, 1025, 3000, 9000])) for _ in range(60)]
+    assert B.digests(many) == [B.digests([x])[0] for x in many] == [B.digest(x) for x in many]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*many, None])], "i int, b binary")
+    got = {x.i: (x.h, x.k) for x in df.select("i", B.blake3("b").alias("h"), B.blob_key("b").alias("k")).collect()}
+    assert all((bytes(got[k][0]), bytes(got[k][1])) == (B.digest(x), B.object_key(0, len(x), x)) for k, x in enumerate(many)) and got[60] == (None, None)
+
+
 def slow_cut(data, least, normal, most):
     n = len(data)
     if n <= least:
