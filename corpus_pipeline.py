@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import bpe, decontam, pii, quality, simhash
+from keystrata.llm import bpe, decontam, neardup, pii, quality
 from keystrata.llm._common import shared_folder, table
 
 
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    return simhash.near_duplicates(docs)
+    """One document of each component of texts with Jaccard 0.8 or more of 5-word shingles."""
+    return neardup.near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
