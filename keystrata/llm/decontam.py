@@ -1,12 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment, verified exactly.
 
-Benchmark items fall into size partitions by the power of two L that bounds
-their number of 5-word shingles. For each partition in use, a document is
+Items of up to ``SHORT`` shingles are looked up exactly: of their shingles as many
+are keys as leave too few others for a match, and every shingle of a document is
+asked for. The other items fall into size partitions by the power of two L that
+bounds their number of 5-word shingles. For each partition in use, a document is
 covered by windows of 2L shingles, L apart, so any L shingles in a row lie in
 one window and a short item is compared with a stretch of its own size however
 long the document is. With containment t the Jaccard similarity to that window
 is at least 0.4 t / (2 + 0.1 t), which sets the number of hash functions (one
-row per band): an item is missed with a chance below one in 10^5.
+row per band): such an item is missed with a chance below one in 10^5.
 
 Keys of the items make a Bloom filter of a fixed maximal size (the only thing
 broadcast), so only window keys that may meet an item leave their task. They are
@@ -37,6 +39,8 @@ from ._common import cut, lean, skew_join
 WORDS = 5
 SHARE = 0.8
 MISS = 1e-5
+SHORT = 4
+EXACT = np.uint64(0xA0761D6478BD642F)
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
 ROWS_AT_ONCE = 1 << 18
 
@@ -91,7 +95,12 @@ def multipliers(n: int) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    return max(3, (n - 1).bit_length())
+    """The power of two that bounds ``n``; 0 for items that are looked up exactly."""
+    return 0 if n <= SHORT else (n - 1).bit_length()
+
+
+def exact_keys(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ EXACT)
 
 
 def window_keys(parts: list[np.ndarray], classes: list[int], factors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,14 +129,17 @@ def window_keys(parts: list[np.ndarray], classes: list[int], factors: np.ndarray
             yield text[~extra], mix(low[~extra] ^ np.uint64((c << 32 | f) * 0x9E3779B9 % (1 << 64)))
 
 
-def item_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+def item_keys(hashes: np.ndarray, factors: np.ndarray, share: float = SHARE) -> np.ndarray:
     """The keys of one item in its own size class."""
-    c = size_class(len(np.unique(hashes)))
+    own = np.unique(hashes)
+    c = size_class(len(own))
+    if not c:
+        return exact_keys(own[: len(own) - math.ceil(share * len(own)) + 1])
     least = np.array([(hashes * a).min() for a in factors], dtype=np.uint64)
     return mix(least ^ (np.uint64(c << 32) | np.arange(len(factors), dtype=np.uint64)) * np.uint64(0x9E3779B9))
 
 
-def _item_rows(factors: np.ndarray):
+def _item_rows(factors: np.ndarray, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in batches:
@@ -135,7 +147,7 @@ def _item_rows(factors: np.ndarray):
             for t in b.column("item_text").to_pylist():
                 h = shingle_hashes(words_of(t), known)
                 n.append(size_class(len(np.unique(h))) if len(h) else None)
-                keys.append(item_keys(h, factors).view(np.int64) if len(h) else [])
+                keys.append(item_keys(h, factors, share).view(np.int64) if len(h) else [])
             yield pa.RecordBatch.from_arrays([b.column("item_h"), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["item_h", "class", "keys"])
 
     return run
@@ -145,12 +157,20 @@ def _hits(bloom, bits: int, classes: list[int], factors: np.ndarray):
     def probe(table: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
+    longer = [c for c in classes if c]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, top = np.frombuffer(bloom.value, dtype=np.uint8), _WordHashes(), np.uint64(bits - 1)
 
+        def all_keys(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if classes[0] == 0:
+                yield np.repeat(np.arange(len(parts)), [len(p) for p in parts]), exact_keys(np.concatenate(parts))
+            if longer:
+                yield from window_keys(parts, longer, factors)
+
         def search(parts: list[np.ndarray]) -> dict[int, set[int]]:
             found: dict[int, set[int]] = {}
-            for text, keys in window_keys(parts, classes, factors):
+            for text, keys in all_keys(parts):
                 k = np.flatnonzero(probe(table, keys & top))
                 k = k[probe(table, (keys[k] >> np.uint64(32)) & top)]
                 for t, key in zip(text[k].tolist(), keys[k].view(np.int64).tolist()):
@@ -194,7 +214,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, share: float = SHARE)
     spark = docs.sparkSession
     factors = multipliers(functions_needed(share))
     asked = items.select("item_id", F.col("text").alias("item_text")).withColumn("item_h", F.xxhash64("item_text"))
-    per_item = cut(asked.select("item_h", "item_text").distinct().mapInArrow(lean(_item_rows(factors)), "item_h long, class int, keys array<long>"))
+    per_item = cut(asked.select("item_h", "item_text").distinct().mapInArrow(lean(_item_rows(factors, share)), "item_h long, class int, keys array<long>"))
     classes = sorted(r[0] for r in per_item.select("class").filter("class is not null").distinct().collect())  # at most 32 powers of two
     if not classes:
         return None

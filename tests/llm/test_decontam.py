@@ -63,3 +63,19 @@ def test_sql_agrees(spark):
     b = pa.table({"item_id": [d[0] for d in items], "text": [d[1] for d in items]})  # noqa: F841
     got = duckdb.sql(D.ORACLE.format(docs="t", items="b")).fetchall()
     assert sorted((x[0] is None, x[0] or 0, *x[1:4]) for x in got) == brute(docs, items)
+
+
+def test_short_items_in_long_documents(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    say = lambda n: [r.choice(words) for _ in range(n)]
+    items = [(k, " ".join(say(5 + k % 4))) for k in range(600)]
+    docs = []
+    for k in range(150):
+        body = say(300)
+        for _ in range(20):
+            at = r.randrange(len(body))
+            body[at:at] = r.choice(items)[1].split()
+        docs.append((k, " ".join(body), "x", 1))
+    got = D.contamination(spark.createDataFrame(docs, COLS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.item_id, x.n_shared, x.n_shingles) for x in got) == brute(docs, items)
