@@ -12,7 +12,8 @@ For every row the log posterior of a language is the sum of
   out of its host's counts.
 
 The text models are fitted on a bounded sample, at most ``SAMPLE_PER_LANGUAGE``
-documents of each declared language; all else covers all rows.
+documents of each declared language, however many languages there are; all else
+covers all rows. A model takes 256 KB a language in each worker.
 
 Edge cases: a null or empty text has flat likelihoods, so the other evidence
 decides, or the corpus prior alone; a null host, markup or suffix is its own
@@ -23,6 +24,7 @@ is null.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -34,7 +36,6 @@ from pyspark.sql import functions as F
 from ._common import cut, lean, skew_join
 
 SAMPLE_PER_LANGUAGE = 500
-MOST_LANGUAGES = 64
 BUCKETS = 1 << 15
 TEXT_WEIGHT = 0.3
 SMOOTH = 5.0
@@ -64,26 +65,27 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (buckets, languages) from at most SAMPLE_PER_LANGUAGE documents of each."""
-    languages = sorted(r.lang for r in docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    languages = sorted(r.lang for r in docs.filter("lang is not null").groupBy("lang").count().collect())
     if not languages:
         return [], np.zeros((BUCKETS, 0))
     order = F.xxhash64("doc_id", F.length("text"))
-    picked = docs.filter(F.col("lang").isin(languages)).withColumn("_o", order)
+    picked = docs.filter("lang is not null").withColumn("_o", order)
     # a partial top-k per partition bounds what meets in the final one
     part = Window.partitionBy("lang", F.pmod("_o", F.lit(64))).orderBy("_o", "doc_id")
     per_part = SAMPLE_PER_LANGUAGE // 64 + 1
     ids = picked.select("lang", "doc_id", "_o").withColumn("_k", F.row_number().over(part)).filter(F.col("_k") <= per_part).select(F.col("_o").alias("_po"), F.col("doc_id").alias("_pid"))
-    chosen = picked.join(F.broadcast(ids.distinct()), (F.col("_o") == F.col("_po")) & F.col("doc_id").eqNullSafe(F.col("_pid")), "left_semi")  # at most MOST_LANGUAGES * (SAMPLE_PER_LANGUAGE + 64) rows
+    chosen = picked.join(F.broadcast(ids.distinct()), (F.col("_o") == F.col("_po")) & F.col("doc_id").eqNullSafe(F.col("_pid")), "left_semi")  # at most SAMPLE_PER_LANGUAGE + 64 rows a language
     found = chosen.select("lang", "text").mapInArrow(lean(_sample_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(languages)), 0.5)
+    column = {x: k for k, x in enumerate(languages)}
     for lang, bucket, n in zip(found["lang"].to_pylist(), found["bucket"].to_pylist(), found["n"].to_pylist()):
-        table[bucket, languages.index(lang)] += n
+        table[bucket, column[lang]] += n
     return languages, np.log(table / table.sum(axis=0))
 
 
-def _likelihoods(model: np.ndarray, markup: bool):
+def _likelihoods(model, markup: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = model.astype(np.float64)
+        table = model.value
         n_lang = table.shape[1]
         for b in batches:
             out = np.zeros((b.num_rows, n_lang))
@@ -111,44 +113,52 @@ def best(scores: Column, languages: list[str]) -> Column:
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray, ids: list[str], markup: bool) -> DataFrame:
     """``rows`` (ids, text, host, declared, suffix) to (ids, host, declared, suffix, ll), cut to a checkpoint by the caller."""
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*ids, "host", "declared", "suffix"])
-    return rows.select(*ids, "host", "declared", "suffix", "text").mapInArrow(lean(_likelihoods(model, markup)), f"{kinds}, ll array<double>")
+    return rows.select(*ids, "host", "declared", "suffix", "text").mapInArrow(lean(_likelihoods(rows.sparkSession.sparkContext.broadcast(model), markup)), f"{kinds}, ll array<double>")
 
 
 def fuse(evidence: DataFrame, languages: list[str], ids: list[str]) -> DataFrame:
     """(ids, lang, confidence, text_lang, posterior) from likelihoods and the three other kinds of evidence."""
-    n = len(languages)
+    n, place = len(languages), {x: k for k, x in enumerate(languages)}
     known = F.array(*[F.lit(x) for x in languages])
     clean = lambda c: F.when(F.array_contains(known, F.col(c)), F.col(c)).otherwise(F.when(F.col(c).isNull(), "none").otherwise("other"))
     rows = cut(evidence.select(*ids, F.coalesce("host", F.lit("")).alias("host"), clean("declared").alias("declared"), clean("suffix").alias("suffix"), F.transform("ll", lambda x: x * TEXT_WEIGHT).alias("ll")))
     rows = rows.withColumn("text_lang", best(F.col("ll"), languages))
     total = rows.count()
-    votes = [F.sum((F.col("text_lang") == x).cast("double")).alias(f"n{k}") for k, x in enumerate(languages)]
+    per_host = cut(rows.groupBy("host", "text_lang").agg(F.count(F.lit(1)).cast("double").alias("n")))
     domain, top = host_levels(F.col("host"))
-    hosts = cut(rows.groupBy("host").agg(F.count(F.lit(1)).alias("rows"), *votes)).withColumns({"domain": domain, "top": top})
-
-    def table(column: str) -> Column:
-        """log P(value | language) as a literal map: at most (languages + 2) values."""
-        seen = {r[column]: r for r in rows.groupBy(column).agg(*votes).collect()}
-        values = [*languages, "none", "other"]
-        count = np.array([[seen[v][f"n{k}"] if v in seen else 0.0 for k in range(n)] for v in values]).reshape(len(values), n) + 0.5
+    cells = per_host.withColumns({"domain": domain, "top": top})
+
+    def votes(level: str, name: str) -> DataFrame:
+        """One row per value of ``level`` with the votes for each language, in their order."""
+        seen = cells.groupBy(level, "text_lang").agg(F.sum("n").alias("n")).groupBy(level).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", "n"))).alias("m"))
+        return seen.select(level, F.transform(known, lambda x: F.coalesce(F.element_at(F.col("m"), x), F.lit(0.0))).alias(name))
+
+    def table(column: str) -> DataFrame:
+        """log P(value | language) for the values seen: at most (languages + 2) rows."""
+        values = {v: k for k, v in enumerate([*languages, "none", "other"])}
+        count = np.full((len(values), n), 0.5)
+        for value, lang, m in rows.groupBy(column, "text_lang").count().collect():
+            count[values[value], place[lang]] += m
         logs = np.log(count / count.sum(axis=0))
-        return F.create_map(*[x for v, line in zip(values, logs) for x in (F.lit(v), F.array(*[F.lit(float(p)) for p in line]))])
-
-    def up(level: str) -> DataFrame:
-        return hosts.groupBy(level).agg(*[F.sum(f"n{k}").alias(f"{level}_{k}") for k in range(n)])
-
-    overall = hosts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0.0)).alias(f"n{k}") for k in range(n)]).first()
-    corpus = [(overall[f"n{k}"] + 1) / (sum(overall) + n) for k in range(n)]
-    linked = hosts.join(up("domain"), "domain").join(up("top"), "top")
-    tops = [(F.col(f"top_{k}") + SMOOTH * corpus[k]) / (sum((F.col(f"top_{j}") for j in range(n)), F.lit(0.0)) + SMOOTH) for k in range(n)]
-    linked = linked.withColumns({f"pt{k}": t for k, t in enumerate(tops)})
-    domains = [(F.col(f"domain_{k}") + SMOOTH * F.col(f"pt{k}")) / (sum((F.col(f"domain_{j}") for j in range(n)), F.lit(0.0)) + SMOOTH) for k in range(n)]
-    priors = linked.withColumns({f"pd{k}": d for k, d in enumerate(domains)}).select("host", "rows", F.array(*[f"n{k}" for k in range(n)]).alias("votes"), F.array(*[f"pd{k}" for k in range(n)]).alias("above"))
-    joined = skew_join(rows, priors, "host", "rows", total)
-    own = F.array(*[(F.col("text_lang") == x).cast("double") for x in languages])
+        kind = f"array<struct<{column} string, log_{column} array<double>>>"
+        lines = json.dumps([{column: v, f"log_{column}": logs[k].tolist()} for v, k in values.items()])
+        return F.broadcast(rows.sparkSession.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(lines), kind))))
+
+    overall = dict.fromkeys(languages, 0.0) | {r.text_lang: r.n for r in per_host.groupBy("text_lang").agg(F.sum("n").alias("n")).collect()}
+    corpus = F.array(*[F.lit((overall[x] + 1) / (total + n)) for x in languages])
+    sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    above = lambda a, p: F.zip_with(F.col(a), p, lambda x, y: x + SMOOTH * y)
+    shrunk = lambda counts, p, name: F.transform(above(counts, p), lambda x: x / (F.col(f"{name}_n") + SMOOTH))
+    tops = votes("top", "top_votes").withColumn("top_n", sum_of("top_votes")).select("top", shrunk("top_votes", corpus, "top").alias("pt"))
+    domains = votes("domain", "domain_votes").withColumns({"domain_n": sum_of("domain_votes"), "top": F.substring_index("domain", ".", -1)})
+    domains = domains.join(tops, "top").select("domain", shrunk("domain_votes", F.col("pt"), "domain").alias("above"))
+    hosts = votes("host", "votes").withColumns({"rows": sum_of("votes").cast("long"), "domain": domain})
+    priors = hosts.join(domains, "domain").select("host", "rows", "votes", "above")
+    joined = skew_join(rows, priors, "host", "rows", total).join(table("declared"), "declared").join(table("suffix"), "suffix")
+    own = F.transform(known, lambda x: (F.col("text_lang") == x).cast("double"))
     prior = F.zip_with(F.zip_with("votes", own, lambda v, o: v - o), "above", lambda v, a: F.log((v + SMOOTH * a) / (F.col("rows") - 1 + SMOOTH)))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    score = add(add(add(F.col("ll"), F.element_at(table("declared"), F.col("declared"))), F.element_at(table("suffix"), F.col("suffix"))), prior)
+    score = add(add(add(F.col("ll"), F.col("log_declared")), F.col("log_suffix")), prior)
     fused = joined.withColumn("score", score).withColumn("raw", F.transform("score", lambda s: F.exp(s - F.array_max("score"))))
     whole = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
     return fused.select(*ids, best(F.col("score"), languages).alias("lang"), (F.array_max("raw") / whole).alias("confidence"), "text_lang", F.transform("raw", lambda x: x / whole).alias("posterior"))

@@ -49,3 +49,13 @@ def test_edges(spark):
     assert len(got) == 7 and all(r.lang == "en" for r in got)
     assert G.languages_of(docs.limit(0), pages.limit(0)).count() == 0
     assert all(r.lang is None for r in G.languages_of(docs.limit(0), pages).collect())
+
+
+def test_more_than_64_languages(spark):
+    langs = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(80)]
+    say = lambda k: " ".join(f"{langs[k]}{chr(97 + j)}{langs[79 - k]}" for j in range(20))
+    docs = [(k * 3 + j, say(k), x, f"s{k}", 1) for k, x in enumerate(langs) for j in range(3)]
+    pages = [(k, f"http://host{k}.org/{x}/", f"<html lang={x}><p>{say(k)}") for k, x in enumerate(langs)]
+    got = G.languages_of(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, host int"), spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == 320
+    assert all(r.lang == langs[r.page_id if r.doc_id is None else r.doc_id // 3] for r in got)
