@@ -81,12 +81,32 @@ def select_victims(scores: DataFrame, horizon: Column | None, ratio: float, budg
     return packed.select(F.inline(fold.out))
 
 
-def compact(index: DataFrame, live: DataFrame, victims: DataFrame, new_seg: int) -> DataFrame:
-    """The index after compaction: victims go, their live keys without a copy elsewhere move to a new segment, once each."""
+def _needed(index: DataFrame, live: DataFrame, ids: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows outside the segments ``ids``, and the live rows inside whose key has no verifying copy outside; ``_good`` tells which verify."""
+    rows = index.withColumn("_good", F.coalesce(good, F.lit(False)))
+    stay = rows.join(ids, "seg_id", "left_anti")
+    inside = rows.join(ids, "seg_id", "left_semi").join(live.select("key"), "key", "left_semi")
+    return stay, inside.join(stay.filter("_good").select("key"), "key", "left_anti")
+
+
+def left_in_place(index: DataFrame, live: DataFrame, victims: DataFrame, good: Column) -> DataFrame:
+    """(seg_id) of the victims that can't go: a live record that has to be copied doesn't verify."""
+    return _needed(index, live, victims.filter("taken").select("seg_id"), good)[1].filter("NOT _good").select("seg_id").distinct()
+
+
+def compact(index: DataFrame, live: DataFrame, victims: DataFrame, new_seg: int, good: Column | None = None) -> DataFrame:
+    """The index after compaction: victims go, their live keys without a verifying copy elsewhere move to a new segment, once each.
+
+    ``good`` tells which index rows have a record that verifies (none given: all).
+    A victim with a bad record that would have to be copied stays, with all it
+    holds, and is no survivor: a good copy in another victim is copied.
+    """
     ids = victims.filter("taken").select("seg_id")
-    stay = index.join(ids, "seg_id", "left_anti")
-    moved = index.join(ids, "seg_id", "left_semi").join(live.select("key"), "key", "left_semi").join(stay.select("key"), "key", "left_anti")
-    fresh = moved.groupBy("key").agg(F.min("slen").alias("slen"), F.max("sealed_at").alias("sealed_at"))
+    stay, needed = _needed(index, live, ids, F.lit(True) if good is None else good)
+    if good is not None:
+        kept = left_in_place(index, live, victims, good)
+        stay, needed = stay.unionByName(index.withColumn("_good", F.coalesce(good, F.lit(False))).join(ids, "seg_id", "left_semi").join(kept, "seg_id", "left_semi").select(stay.columns)), needed.join(kept, "seg_id", "left_anti")
+    fresh = needed.groupBy("key").agg(F.min("slen").alias("slen"), F.max("sealed_at").alias("sealed_at"))
     copied = fresh.select(F.lit(new_seg).cast("long").alias("seg_id"), "key", "slen", "sealed_at")
     return stay.select(F.col("seg_id").cast("long").alias("seg_id"), "key", "slen", "sealed_at").unionByName(copied)
 
@@ -100,14 +120,16 @@ class CycleStats:
     freed_bytes: int
 
 
-def cycle(index: DataFrame, edges: DataFrame, refs: DataFrame, horizon: Column | None, ratio: float = DEFAULT_GARBAGE, budget: int | None = None, grey: DataFrame | None = None, new_seg: int = 1 << 40) -> tuple[DataFrame, CycleStats]:
-    """Mark, score, pick, compact: the new index and what was done. ``grey`` keys count as live."""
+def cycle(index: DataFrame, edges: DataFrame, refs: DataFrame, horizon: Column | None, ratio: float = DEFAULT_GARBAGE, budget: int | None = None, grey: DataFrame | None = None, new_seg: int = 1 << 40, good: Column | None = None) -> tuple[DataFrame, CycleStats]:
+    """Mark, score, pick, compact: the new index and what was done. ``grey`` keys count as live; ``good`` as in ``compact``."""
     live = graph.mark_live(edges, refs)
     if grey is not None:
         live = live.unionByName(grey.select("key")).distinct()
     live = cut(live)
     scores = cut(liveness(index, live))
     chosen = cut(select_victims(scores, horizon, ratio, budget))
+    if good is not None:
+        chosen = cut(chosen.join(left_in_place(index, live, chosen, good), "seg_id", "left_anti"))
     taken = scores.join(chosen.filter("taken").select("seg_id"), "seg_id", "left_semi")
     n, alive, dead = taken.agg(F.count(F.lit(1)), F.coalesce(F.sum("live_bytes"), F.lit(0)), F.coalesce(F.sum("dead_bytes"), F.lit(0))).first()
-    return compact(index, live, chosen, new_seg), CycleStats(live.count(), scores.count(), n, alive, dead)
+    return compact(index, live, chosen, new_seg, good), CycleStats(live.count(), scores.count(), n, alive, dead)

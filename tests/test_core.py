@@ -346,3 +346,17 @@ def test_native_queries(spark, sf):
     assert sum(x.n for x in q["tree_closure"](spark, sf).collect()) == n and len(kinds[-1].root) == 64
     rules = I.parse_file("*.html\n!/en/4*.html\n/fr/\n**/8?\n[1-3]*", "")
     assert all(x.ignored == I.ignored(rules, x.path, False) for x in q["ignored_paths"](spark, sf).collect())
+
+
+def test_compaction_trusts_only_verified_records(spark):
+    rows = [(0, "a", 10, False), (1, "a", 10, True), (1, "b", 10, True), (2, "c", 10, False), (2, "d", 10, True), (3, "c", 10, True), (3, "x", 10, False), (4, "e", 10, True), (4, "f", 10, False), (0, "f", 10, True)]
+    index = spark.createDataFrame(rows, "seg_id long, key string, slen long, ok boolean").withColumn("sealed_at", F.to_timestamp(F.lit("2020-01-01")))
+    live = spark.createDataFrame([(k,) for k in "abcdef"], "key string")
+    victims = spark.createDataFrame([(1, True), (2, True), (3, True), (4, True), (0, False)], "seg_id long, taken boolean")
+    assert {x.seg_id for x in gc.left_in_place(index, live, victims, F.col("ok")).collect()} == {2}
+    got = sorted((x.seg_id, x.key) for x in gc.compact(index, live, victims, 100, F.col("ok")).collect())
+    # a: its survivor in 0 is bad; c: bad in 2, which stays, and good in 3; f: bad in 4, its survivor is good; x is dead
+    assert got == [(0, "a"), (0, "f"), (2, "c"), (2, "d"), (100, "a"), (100, "b"), (100, "c"), (100, "e")]
+    edges = spark.createDataFrame([("r", k) for k in "abcdef"], "parent string, child string")
+    after, stats = gc.cycle(index, edges, spark.createDataFrame([("main", "r")], "name string, key string"), None, 0.0, None, good=F.col("ok"))
+    assert {"a", "b", "c", "d", "e", "f"} <= {x.key for x in after.collect()} and stats.reaped < stats.packs
