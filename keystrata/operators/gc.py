@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.records import decode_payload, parse_record, verify_object
+from ..llm._common import lean
 from ..session import cut
 from . import graph
-from .store import RECORD_HEADER
+from .store import RECORD_HEADER, index_faults
 
 DEFAULT_GRACE_S = 3600
 DEFAULT_GARBAGE, TIGHT_GARBAGE, LEAST_FREE = 0.5, 0.1, 0.05
@@ -111,6 +115,35 @@ def compact(index: DataFrame, live: DataFrame, victims: DataFrame, new_seg: int,
     return stay.select(F.col("seg_id").cast("long").alias("seg_id"), "key", "slen", "sealed_at").unionByName(copied)
 
 
+def _faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys, faults = [], []
+        for record in b.column("record").to_pylist():
+            key = fault = None
+            try:
+                found = parse_record(record or b"")
+                key = found["key"]
+                fault = verify_object(key, decode_payload(found["flags"], found["ulen"], found["payload"]))
+            except Exception as e:  # a payload may fail in any of the decoders
+                fault = str(e) or type(e).__name__
+            keys.append(key)
+            faults.append(fault)
+        yield pa.RecordBatch.from_arrays([b.column("seg_id"), b.column("off"), pa.array(keys, pa.binary()), pa.array(faults, pa.string())], ["seg_id", "off", "key", "fault"])
+
+
+def checked_records(records: DataFrame) -> DataFrame:
+    """(seg_id, off, key, fault) for every row of ``records`` (seg_id, off, record): fault is null where the record parses, its checksum fits and its payload hashes to its key."""
+    return records.select(F.col("seg_id").cast("long"), F.col("off").cast("long"), "record").mapInArrow(lean(_faults, 100), "seg_id long, off long, key binary, fault string")
+
+
+def scrub(records: DataFrame, index: DataFrame) -> DataFrame:
+    """(seg_id, off, key, fault): faulty records of whole segments, and where they and the index (seg_id, key, off) differ."""
+    checked = cut(checked_records(records))
+    placed = index.select(F.col("seg_id").cast("long"), "key", F.col("off").cast("long"))
+    differ = index_faults(placed, checked.filter("key is not null"))
+    return checked.filter("fault is not null").unionByName(differ.select("seg_id", "off", "key", "fault"))
+
+
 @dataclass
 class CycleStats:
     marked: int

@@ -360,3 +360,16 @@ def test_compaction_trusts_only_verified_records(spark):
     edges = spark.createDataFrame([("r", k) for k in "abcdef"], "parent string, child string")
     after, stats = gc.cycle(index, edges, spark.createDataFrame([("main", "r")], "name string, key string"), None, 0.0, None, good=F.col("ok"))
     assert {"a", "b", "c", "d", "e", "f"} <= {x.key for x in after.collect()} and stats.reaped < stats.packs
+
+
+def test_scrub_finds_bad_records(spark):
+    datas = [b"one", b"two" * 50, b"three", b"four"]
+    keys = [B.object_key(0, len(d), d) for d in datas]
+    recs = [R.encode_record(k, d, "zstd") for k, d in zip(keys, datas)]
+    recs[0] = recs[0][:-1] + b"x"  # checksum
+    recs[2] = R.encode_record(keys[2], b"other")  # sound record of other bytes
+    rows = [(k % 2, 100 * k, r) for k, r in enumerate(recs)] + [(1, 900, None)]
+    records = spark.createDataFrame([(s, o, None if r is None else bytearray(r)) for s, o, r in rows], "seg_id long, off long, record binary")
+    index = spark.createDataFrame([(0, bytearray(keys[0]), 0), (1, bytearray(keys[1]), 100), (0, bytearray(keys[2]), 200), (1, bytearray(keys[3]), 333)], "seg_id long, key binary, off long")
+    got = {(x.seg_id, x.off, x.fault) for x in gc.scrub(records, index).collect()}
+    assert got == {(0, 0, "bad checksum"), (0, 0, "no record"), (0, 200, "hash differs"), (1, 900, "short record"), (1, 300, "not indexed"), (1, 333, "no record")}
