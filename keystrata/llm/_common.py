@@ -74,6 +74,14 @@ def literal_table(spark: SparkSession, rows: Iterable[dict], ddl: str) -> DataFr
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{ddl}>>")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def safe_text(column: str | Column = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
