@@ -1,17 +1,23 @@
 """HTML main text by the maximum-scoring subsequence of words and tags.
 
-A page is read as a sequence of word and tag tokens. Words in running text
-score positive, words in links or in boilerplate elements and tags negative;
-a linear scan finds the contiguous run with the highest sum. The run is then
-widened to the content element (article, main, or the innermost element) that
-holds it, boilerplate elements inside it are left out, and its blocks are the
-text: character references decoded, white space in a block made one space,
-blocks joined by a newline.
-
-Weights: log odds of each kind of token inside against outside the declared
-content (article or main elements) on labelled pages, a bounded sample of at
-most ``SAMPLE_PAGES`` pages with such an element and the smallest url hashes.
-Signs are kept: words stay positive, tags negative.
+A page is read as a sequence of word and tag tokens. Words score positive, tags
+and words of boilerplate negative; a linear scan finds the contiguous run with
+the highest sum, and what lies in the run, widened to whole blocks, is the text:
+menus, headers, footers and whatever else surrounds the article score negative
+and stay outside. Boilerplate between the first and the last content word of the
+run (an advert within the article) is left out. Character references are
+decoded, white space in a block made one space, blocks joined by a newline.
+
+The kind of a token is its tag name, or for a word whether it is in a link, in
+boilerplate (by element name, role, or class and id words), and inside or
+outside the element that declares the content (article or main). A run doesn't
+cross the border of a declaring element.
+
+Weights: log odds of each kind inside against outside the declared content, on a
+bounded sample of at most ``SAMPLE_PAGES`` pages with such an element and the
+smallest url hashes. Each page is counted twice, as it is and with its
+declaration hidden, so pages that declare nothing have learned weights too.
+Signs are kept: content words stay positive, all else negative.
 
 Edge cases: null, empty or wordless pages give the empty text; text outside any
 element counts; unclosed and stray tags are tolerated; an unclosed comment,
@@ -37,13 +43,13 @@ SAMPLE_PAGES = 400
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "object", "select"}
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
-    "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr",
+    "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr", "math", "mi", "mn", "mo", "mrow", "msub", "msup", "mfrac", "svg", "object",
 }
-BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset", "audio", "video", "canvas", "applet"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset", "audio", "video", "canvas", "applet", "noscript", "template", "select", "svg"}
 CONTENT = {"article", "main"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 _MARKS = re.compile(
@@ -55,32 +61,36 @@ _ARTICLE_MARKS = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|ma
 
 
 class _Element:
-    __slots__ = ("name", "off", "root", "link", "number", "up")
+    __slots__ = ("name", "off", "root", "link", "within", "up")
 
-    def __init__(self, name: str, off: bool, root: bool, link: bool, number: int, up: _Element | None) -> None:
-        self.name, self.off, self.root, self.link, self.number, self.up = name, off, root, link, number, up
+    def __init__(self, name: str, off: int, root: bool, link: bool, within: bool, up: _Element | None) -> None:
+        self.name, self.off, self.root, self.link, self.within, self.up = name, off, root, link, within, up
 
 
-def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
+#: How an element is known as boilerplate: by its name or role, or by words of its class or id.
+STRUCTURE, MARKED = 1, 2
+
+
+def _boilerplate(name: str, attributes: str, inside: bool) -> int:
     if name in BOILERPLATE or name == "header" and not inside:
-        return True
+        return STRUCTURE
     if not attributes or name in ("html", "body"):
-        return False
+        return 0
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "role" and value.strip() in _ROLES or key == "aria-hidden" and value == "true":
-            return True
+            return STRUCTURE
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return STRUCTURE
         if key in ("class", "id") and _MARKS.search(value) and not (name in CONTENT and _ARTICLE_MARKS.search(value) and not re.search("comment|repl", value)):
-            return not (inside and name in ("h1", "h2", "h3", "h4", "h5", "h6", "header", "p"))
-    return False
+            return 0 if inside and name in ("h1", "h2", "h3", "h4", "h5", "h6", "header", "p") else MARKED
+    return 0
 
 
 def tokens(page: str) -> Iterator[tuple]:
     """("text", decoded, element) and ("tag", name, element, closing) in page order."""
-    root = _Element("", False, False, False, 0, None)
-    top, made, at, n, had_root = root, 0, 0, len(page), False
+    root = _Element("", 0, False, False, False, None)
+    top, at, n, had_root = root, 0, len(page), False
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -139,12 +149,13 @@ def tokens(page: str) -> Iterator[tuple]:
             if name in ("li", "td", "th", "tr", "dd", "dt", "option") and top.name == name:
                 top = top.up
         if name not in VOID and not attributes.endswith("/"):
-            made += 1
             inside = top.root
-            is_root = name in CONTENT and not _is_boilerplate(name, attributes, inside)
-            off = False if is_root and not _declared_off(top, had_root) else top.off or _is_boilerplate(name, attributes, inside)
+            own = _boilerplate(name, attributes, inside)
+            is_root = name in CONTENT and not own
+            off = 0 if is_root and not _declared_off(top, had_root) else top.off or own
             had_root = had_root or is_root and not off
-            top = _Element(name, off, (top.root or is_root) and not off, top.link or name == "a", made, top)
+            within = (top.root or is_root) and not off
+            top = _Element(name, off, within, top.link or name == "a", top.within or within, top)
         yield "tag", name, top, False
 
 
@@ -188,27 +199,37 @@ def _tag_end(page: str, start: int, end: int) -> int:
                     return first
 
 
-def kind_of(token: tuple) -> str:
-    """The kind by which a token is weighed."""
-    if token[0] == "text":
-        e = token[2]
-        return "word:off" if e.off else "word:link" if e.link else "word"
-    return "tag:" + (token[1] if token[1] in _KNOWN else "other")
+_KNOWN = INLINE | VOID | RAW | BOILERPLATE | CONTENT | {"p", "div", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "blockquote", "pre", "header", "body", "html", "figure", "figcaption", "center"}
+_SOFT = INLINE | {"p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "ul", "ol", "td", "tr"}
+#: For pages without a sample to learn from.
+DEFAULT = {"word": 2.0, "word:in": 2.0, "word:link": -0.5, "word:out": -2.0, "word:off": -2.0, "word:marked": -0.02, "tag": -0.5, "tag:in": -0.02, "tag:marked": -3.0} | {f"tag:{t}": -0.02 for t in _SOFT}
+#: What a run pays to cross the border of an element that declares the content.
+BORDER = -1e12
 
 
-_KNOWN = INLINE | VOID | RAW | BOILERPLATE | CONTENT | {"p", "div", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "blockquote", "pre", "header", "body", "html", "figure", "figcaption", "center"}
-DEFAULT = {"word": 1.0, "word:link": -0.5, "word:off": -2.0, "tag": -1.0}
+def kind_of(token: tuple, declared: bool) -> str:
+    """The kind by which a token is weighed; ``declared``: some element of the page declares its content."""
+    e = token[2]
+    if token[0] == "text":
+        if e.off:
+            return "word:marked" if e.off == MARKED or declared and e.within else "word:off"
+        return ("word:in" if e.root else "word:out") if declared else "word:link" if e.link else "word"
+    if declared and e.within:
+        return "tag:in"
+    if e.off == MARKED:
+        return "tag:marked" if not token[3] and not e.up.off else "tag:in"
+    return "tag:" + (token[1] if token[1] in _KNOWN else "other")
 
 
 def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log odds of content by kind of token; words at least 0.1, tags and boilerplate words at most -0.1."""
+    """Log odds of content by kind of token; content words at least 0.1, all else at most -0.02."""
     inside, outside = (sum(n for (_, i), n in counts.items() if i == side) for side in (True, False))
     if not inside or not outside:
         return dict(DEFAULT)
     found = dict(DEFAULT)
-    for kind in {k for k, _ in counts}:
+    for kind in {k for k, _ in counts} - {"tag:in", "word:marked"}:
         odds = math.log((counts.get((kind, True), 0) + 1) / (inside + 1)) - math.log((counts.get((kind, False), 0) + 1) / (outside + 1))
-        found[kind] = max(0.1, min(3.0, odds)) if kind == "word" else max(-4.0, min(-0.1, odds - (1.0 if kind.startswith("tag") else 0)))
+        found[kind] = max(0.1, min(3.0, odds)) if kind in ("word", "word:in") else max(-4.0, min(-0.02, odds))
     return found
 
 
@@ -224,95 +245,65 @@ def best_run(scores: list[float]) -> tuple[int, int] | None:
     return span
 
 
+def scores_of(seen: list[tuple], weights: dict[str, float], declared: bool) -> list[float]:
+    """The score of each token; a text counts once for each of its words."""
+    tag, out, inside = weights["tag"], [], False
+    for t in seen:
+        w = weights.get(kind_of(t, declared), tag)
+        if t[0] == "text":
+            out.append(w * len(t[1].split()))
+            continue
+        crossed = declared and t[2].within != inside
+        inside = t[2].within
+        out.append(BORDER if crossed else w)
+    return out
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     seen = list(tokens(page or ""))
-    tag = weights["tag"]
-    scores = []
-    for t in seen:
-        w = weights.get(kind_of(t), tag)
-        scores.append(w * len(t[1].split()) if t[0] == "text" else w)
+    scores = scores_of(seen, weights, any(t[2].root for t in seen))
     run = best_run(scores)
-    if run is None:
-        return ""
-    held = [t[2] for t in seen[run[0] : run[1]] if t[0] == "text" and not t[2].off and t[1].strip()]
-    if not held:
-        return ""
-    home = _home(held)
-    return _blocks(seen, home)
-
-
-def _chain(e: _Element) -> list[_Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.up
-    return out[::-1]
-
-
-def _home(held: list[_Element]) -> _Element:
-    """The declared content element with most of the run, else the innermost element that holds all of it."""
-    votes: Counter[int] = Counter()
-    by_number = {}
-    for e in held:
-        for a in _chain(e):
-            if a.root and a.name in CONTENT:
-                votes[a.number] += 1
-                by_number[a.number] = a
-                break
-    if votes:
-        return by_number[votes.most_common(1)[0][0]]
-    common = _chain(held[0])
-    for e in held[1:]:
-        chain = _chain(e)
-        k = 0
-        while k < len(common) and k < len(chain) and common[k] is chain[k]:
-            k += 1
-        common = common[:k]
-    home = common[-1]
-    while home.up is not None and (home.name in INLINE or home.name in ("p", "li", "td", "h1", "h2", "h3", "blockquote")):
-        home = home.up
-    return home
-
-
-def _blocks(seen: list[tuple], home: _Element) -> str:
-    inside: dict[int, bool] = {}
-
-    def within(e: _Element) -> bool:
-        path = []
-        while e is not None and e.number not in inside:
-            if e is home:
-                inside[e.number] = True
-                break
-            path.append(e)
-            e = e.up
-        known = inside[e.number] if e is not None else False
-        for x in path:
-            inside[x.number] = known
-        return known
+    return "" if run is None else _blocks(seen, scores, *run)
+
+
+def _ends_block(t: tuple) -> bool:
+    return t[0] == "tag" and t[1] not in INLINE and t[1] not in ("script", "style")
 
+
+def _blocks(seen: list[tuple], scores: list[float], first: int, end: int) -> str:
+    """The blocks of a run, without the boilerplate between its first and last content words."""
+    content = [k for k in range(first, end) if scores[k] > 0]
+    low, high = content[0], content[-1]
+    while first > 0 and not _ends_block(seen[first]) and not seen[first - 1][2].off:
+        first -= 1
+    while end < len(seen) and not _ends_block(seen[end]) and not seen[end][2].off:
+        end += 1
     out, block = [], []
 
-    def end() -> None:
+    def close() -> None:
         if line := " ".join("".join(block).split()):
             out.append(line)
         block.clear()
 
-    for t in seen:
+    for k in range(first, end):
+        t = seen[k]
         if t[0] == "tag":
-            if t[1] not in INLINE and t[1] not in ("script", "style", "noscript", "template"):
-                end()
-        elif not t[2].off and within(t[2]):
+            if _ends_block(t):
+                close()
+        elif not (t[2].off and low < k < high):
             block.append(t[1])
-    end()
+    close()
     return "\n".join(out)
 
 
 def count_kinds(page: str | None) -> Counter:
-    """Tokens by (kind, inside the declared content)."""
+    """Tokens by (kind, inside the declared content), with the declaration seen and hidden."""
     found: Counter = Counter()
     for t in tokens(page or ""):
-        found[kind_of(t), t[2].root] += len(t[1].split()) if t[0] == "text" else 1
+        n, inside = len(t[1].split()) if t[0] == "text" else 1, t[2].root
+        for declared in (True, False):
+            found[kind_of(t, declared), inside] += n
     return found
 
 

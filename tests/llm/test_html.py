@@ -56,3 +56,38 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a</p>", "x"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in H.main_text(df).collect()) == [(0, "a", 1), (1, "", 0), (1, "", 0)]
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def inner_text(html):
+    inner = re.search(r"<article>(.*?)</article>", html, re.S).group(1)
+    blocks = (" ".join(std.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br|div)>", inner))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_the_run_decides(spark, sf, monkeypatch):
+    """Pages whose article is hidden in a div have the same text; without the best run every text is another."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = H.train(pages)
+    html = [r.html for r in pages.collect()]
+    want = [inner_text(h) for h in html]
+    hidden = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in html]
+    assert [H.extract(h, weights) for h in hidden] == want
+    monkeypatch.setattr(H, "best_run", lambda scores: (0, len(scores)))
+    assert not any(H.extract(h, weights) == w for h, w in zip(html, want)) and not any(H.extract(h, weights) == w for h, w in zip(hidden, want))
+
+
+UNDECLARED = {
+    "<div class='x1'><a href=/>Home</a> <a href=/n>News and views</a></div><div><h1>Title</h1><p>Some words of the text are here, <a href=/a>with a link</a> in it.</p>"
+    "<p><a href=/b>Link first</a> then many more words of this text.</p></div><div class='x2'><a href=/1>one</a><a href=/2>two</a></div>": "Title\nSome words of the text are here, with a link in it.\nLink first then many more words of this text.",
+    "<table><tr><td><ul><li><a>a</a><li><a>b</a></ul></td><td><p>The cell with the text has words.</p><p>And more of them.</p></td></tr></table>": "The cell with the text has words.\nAnd more of them.",
+    "<div role=navigation>Menu one two</div><div><p>Text before the notice has words.</p><div class='promo'>Buy this thing now</div><p>Text after it too, and some more.</p></div><footer>f</footer>": "Text before the notice has words.\nText after it too, and some more.",
+    "<p>x <math><mi>a</mi></math> y <object>fallback words</object> z": "x a y fallback words z",
+    "<p>before<select><option>one</select> after the form field<svg><text>drawn": "before\nafter the form field",
+}
+
+
+def test_pages_that_declare_nothing(spark, sf):
+    weights = H.train(spark.read.parquet(f"{sf}/pages.parquet"))
+    for page, want in UNDECLARED.items():
+        assert H.extract(page, weights) == want, page
+        assert H.extract(page, dict(H.DEFAULT)) == want, page
