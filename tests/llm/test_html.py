@@ -82,7 +82,7 @@ UNDECLARED = {
     "<table><tr><td><ul><li><a>a</a><li><a>b</a></ul></td><td><p>The cell with the text has words.</p><p>And more of them.</p></td></tr></table>": "The cell with the text has words.\nAnd more of them.",
     "<div role=navigation>Menu one two</div><div><p>Text before the notice has words.</p><div class='promo'>Buy this thing now</div><p>Text after it too, and some more.</p></div><footer>f</footer>": "Text before the notice has words.\nText after it too, and some more.",
     "<p>x <math><mi>a</mi></math> y <object>fallback words</object> z": "x a y fallback words z",
-    "<p>before<select><option>one</select> after the form field<svg><text>drawn": "before\nafter the form field",
+    "<p>Words before it<select><option>one</select> after the form field<svg><text>drawn": "Words before it\nafter the form field",
 }
 
 
