@@ -67,3 +67,31 @@ def test_held_out_accuracy_and_kept_columns(spark):
     assert Q.assess(d.limit(0), y).count() == 0
     untrained = Q.assess(d, y.limit(0)).collect()
     assert all(x.kept == (not x.base_failed) for x in untrained)
+
+
+def test_lines_of_mixed_documents():
+    """Trained on labels of documents only, the chain marks the lines of documents that hold both kinds."""
+    r = random.Random(9)
+    docs, labels = [(good if k % 2 else bad)(r) for k in range(80)], [k % 2 for k in range(80)]
+    found = [Q.lines_of(d.encode()) for d in docs]
+    crf = Q.LineCRF.learn([f for _, f, _ in found], [list(map(len, w)) for w, _, _ in found], labels)
+    right = n = 0
+    for _ in range(60):
+        parts = [(line, y) for y in r.sample([0, 1, 0], 3) for line in (good(r) if y else bad(r)).split("\n")[: r.randrange(1, 5)]]
+        text = "\n".join(line for line, _ in parts)
+        states = crf.viterbi(Q.lines_of(text.encode())[1])
+        right, n = right + sum(s == y for s, (_, y) in zip(states, parts)), n + len(parts)
+        share = Q.judge(text, crf)[7]
+        assert states != [y for _, y in parts] or len({y for _, y in parts}) < 2 or 0 < share < 1
+    assert right / n > 0.95
+
+
+def test_constraint_of_the_document_label():
+    g = np.random.default_rng(2)
+    crf = Q.LineCRF(g.normal(size=(2, len(Q.FEATURES))), g.normal(size=(2, 2)))
+    for n in range(1, 9):
+        f, words = [[0, *g.integers(1, 20, 2).tolist()] for _ in range(n)], g.integers(1, 30, n).tolist()
+        for kind in (True, False):
+            states = crf.constrained(f, words, kind)
+            assert (2 * sum(w for w, s in zip(words, states) if s) >= sum(words)) == kind
+    assert Q.LineCRF.learn([[[0]]], [[1]], [1]).step.tolist() == [[0, 0], [0, 0]] and Q.spliced([[[0]]], [1]) == ([], [])
