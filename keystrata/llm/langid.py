@@ -5,7 +5,8 @@ For every row the log posterior of a language is the sum of
   tempered by ``TEXT_WEIGHT``, as trigrams of a text are far from independent;
 - the declared markup language (the ``lang`` attribute of a page) and the
   address suffix (a language code in the path, or a country domain), each under
-  a confusion table estimated by grouped counts over all rows;
+  a confusion table estimated by grouped counts over all rows that can declare
+  one (pages; a document declares nothing, so neither table speaks of it);
 - the host prior, smoothed hierarchically: the host's counts are shrunk to its
   domain's, these to the top-level domain's, these to the corpus's, all by
   grouped aggregation of the first-pass decisions. A row's own vote is taken
@@ -40,7 +41,36 @@ BUCKETS = 1 << 15
 TEXT_WEIGHT = 0.3
 SMOOTH = 5.0
 
-_TAGS = re.compile(r"<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("script", "style")}
+
+
+def visible(page: str) -> str:
+    """A page without comments, scripts, styles and tags; one pass, as an end that is nowhere ahead isn't looked for again."""
+    out, at, n, gone = [], 0, len(page), set()
+    while (lt := page.find("<", at)) >= 0:
+        out.append(page[at:lt])
+        raw = _RAW.match(page, lt)
+        ends = ["comment"] if page.startswith("<!--", lt) else [raw[1].lower()] if raw else []
+        for kind in [*ends, "tag"]:
+            if kind in gone:
+                continue
+            if kind in _ENDS:
+                m = _ENDS[kind].search(page, lt)
+                end = m.end() if m else -1
+            else:
+                mark = "-->" if kind == "comment" else ">"
+                end = page.find(mark, lt)
+                end = end + len(mark) if end >= 0 else -1
+            if end >= 0:
+                at = end
+                break
+            gone.add(kind)
+        else:  # no end of any kind: the rest is text
+            out.append(page[lt:])
+            return " ".join(out)
+    out.append(page[at:])
+    return " ".join(out)
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -68,13 +98,12 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     languages = sorted(r.lang for r in docs.filter("lang is not null").groupBy("lang").count().collect())
     if not languages:
         return [], np.zeros((BUCKETS, 0))
-    order = F.xxhash64("doc_id", F.length("text"))
-    picked = docs.filter("lang is not null").withColumn("_o", order)
-    # a partial top-k per partition bounds what meets in the final one
-    part = Window.partitionBy("lang", F.pmod("_o", F.lit(64))).orderBy("_o", "doc_id")
-    per_part = SAMPLE_PER_LANGUAGE // 64 + 1
-    ids = picked.select("lang", "doc_id", "_o").withColumn("_k", F.row_number().over(part)).filter(F.col("_k") <= per_part).select(F.col("_o").alias("_po"), F.col("doc_id").alias("_pid"))
-    chosen = picked.join(F.broadcast(ids.distinct()), (F.col("_o") == F.col("_po")) & F.col("doc_id").eqNullSafe(F.col("_pid")), "left_semi")  # at most SAMPLE_PER_LANGUAGE + 64 rows a language
+    picked = docs.filter("lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_o"))
+    # the first of 64 parts of each language, then of these: no window holds a language whole, and equal rows have one rank
+    part = Window.partitionBy("lang", F.pmod("_o", F.lit(64))).orderBy("_o")
+    some = picked.select("lang", "_o").withColumn("_k", F.dense_rank().over(part)).filter(F.col("_k") <= SAMPLE_PER_LANGUAGE).select("lang", "_o").distinct()
+    ids = some.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_o"))).filter(F.col("_k") <= SAMPLE_PER_LANGUAGE).select("lang", "_o")
+    chosen = picked.join(F.broadcast(ids), ["lang", "_o"], "left_semi").dropDuplicates(["lang", "_o"])  # at most SAMPLE_PER_LANGUAGE rows a language
     found = chosen.select("lang", "text").mapInArrow(lean(_sample_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(languages)), 0.5)
     column = {x: k for k, x in enumerate(languages)}
@@ -90,7 +119,7 @@ def _likelihoods(model, markup: bool):
         for b in batches:
             out = np.zeros((b.num_rows, n_lang))
             for k, t in enumerate(b.column("text").to_pylist()):
-                grams = trigrams(_TAGS.sub(" ", t) if markup and t else t)
+                grams = trigrams(visible(t) if markup and t else t)
                 for at in range(0, len(grams), 1 << 16):
                     out[k] += np.bincount(grams[at : at + (1 << 16)], minlength=BUCKETS) @ table if len(grams) > BUCKETS else table[grams[at : at + (1 << 16)]].sum(axis=0)
             names = [n for n in b.schema.names if n != "text"]
@@ -111,16 +140,21 @@ def best(scores: Column, languages: list[str]) -> Column:
 
 
 def identify(rows: DataFrame, languages: list[str], model: np.ndarray, ids: list[str], markup: bool) -> DataFrame:
-    """``rows`` (ids, text, host, declared, suffix) to (ids, host, declared, suffix, ll), cut to a checkpoint by the caller."""
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*ids, "host", "declared", "suffix"])
-    return rows.select(*ids, "host", "declared", "suffix", "text").mapInArrow(lean(_likelihoods(rows.sparkSession.sparkContext.broadcast(model), markup)), f"{kinds}, ll array<double>")
+    """``rows`` (ids, text, host, declared, suffix, silent) to the same with ``ll`` for the text, cut to a checkpoint by the caller."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*ids, "host", "declared", "suffix", "silent"])
+    return rows.select(*ids, "host", "declared", "suffix", "silent", "text").mapInArrow(lean(_likelihoods(rows.sparkSession.sparkContext.broadcast(model), markup)), f"{kinds}, ll array<double>")
 
 
 def fuse(evidence: DataFrame, languages: list[str], ids: list[str]) -> DataFrame:
-    """(ids, lang, confidence, text_lang, posterior) from likelihoods and the three other kinds of evidence."""
+    """(ids, lang, confidence, text_lang, posterior) from likelihoods and the three other kinds of evidence.
+
+    Rows marked ``silent`` can't declare anything; without that column none is.
+    """
+    if "silent" not in evidence.columns:
+        evidence = evidence.withColumn("silent", F.lit(False))
     n, place = len(languages), {x: k for k, x in enumerate(languages)}
     known = F.array(*[F.lit(x) for x in languages])
-    clean = lambda c: F.when(F.array_contains(known, F.col(c)), F.col(c)).otherwise(F.when(F.col(c).isNull(), "none").otherwise("other"))
+    clean = lambda c: F.when(F.col("silent"), "silent").when(F.array_contains(known, F.col(c)), F.col(c)).otherwise(F.when(F.col(c).isNull(), "none").otherwise("other"))
     rows = cut(evidence.select(*ids, F.coalesce("host", F.lit("")).alias("host"), clean("declared").alias("declared"), clean("suffix").alias("suffix"), F.transform("ll", lambda x: x * TEXT_WEIGHT).alias("ll")))
     rows = rows.withColumn("text_lang", best(F.col("ll"), languages))
     total = rows.count()
@@ -134,14 +168,14 @@ def fuse(evidence: DataFrame, languages: list[str], ids: list[str]) -> DataFrame
         return seen.select(level, F.transform(known, lambda x: F.coalesce(F.element_at(F.col("m"), x), F.lit(0.0))).alias(name))
 
     def table(column: str) -> DataFrame:
-        """log P(value | language) for the values seen: at most (languages + 2) rows."""
+        """log P(value | language) for each value: (languages + 3) rows."""
         values = {v: k for k, v in enumerate([*languages, "none", "other"])}
         count = np.full((len(values), n), 0.5)
-        for value, lang, m in rows.groupBy(column, "text_lang").count().collect():
+        for value, lang, m in rows.filter(F.col(column) != "silent").groupBy(column, "text_lang").count().collect():
             count[values[value], place[lang]] += m
         logs = np.log(count / count.sum(axis=0))
         kind = f"array<struct<{column} string, log_{column} array<double>>>"
-        lines = json.dumps([{column: v, f"log_{column}": logs[k].tolist()} for v, k in values.items()])
+        lines = json.dumps([{column: v, f"log_{column}": logs[k].tolist()} for v, k in values.items()] + [{column: "silent", f"log_{column}": [0.0] * n}])
         return F.broadcast(rows.sparkSession.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(lines), kind))))
 
     overall = dict.fromkeys(languages, 0.0) | {r.text_lang: r.n for r in per_host.groupBy("text_lang").agg(F.sum("n").alias("n")).collect()}
@@ -190,7 +224,7 @@ def languages_of(docs: DataFrame, pages: DataFrame) -> DataFrame:
     if not languages:
         both = docs.select("doc_id", none(kinds["page_id"]).alias("page_id")).unionByName(pages.select(none(kinds["doc_id"]).alias("doc_id"), "page_id"))
         return both.select(*ids, none("string").alias("lang"), none("double").alias("confidence"), none("string").alias("text_lang"))
-    d = docs.select("doc_id", none(kinds["page_id"]).alias("page_id"), "text", F.concat(F.lit("source:"), F.col("source")).alias("host"), none("string").alias("declared"), none("string").alias("suffix"))
-    p = page_rows(pages).select(none(kinds["doc_id"]).alias("doc_id"), "page_id", "text", "host", "declared", "suffix")
+    d = docs.select("doc_id", none(kinds["page_id"]).alias("page_id"), "text", F.concat(F.lit("source:"), F.col("source")).alias("host"), none("string").alias("declared"), none("string").alias("suffix"), F.lit(True).alias("silent"))
+    p = page_rows(pages).select(none(kinds["doc_id"]).alias("doc_id"), "page_id", "text", "host", "declared", "suffix", F.lit(False).alias("silent"))
     evidence = identify(d, languages, model, ids, False).unionByName(identify(p, languages, model, ids, True))
     return fuse(evidence, languages, ids).drop("posterior")

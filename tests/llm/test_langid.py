@@ -5,7 +5,7 @@ import numpy as np
 from keystrata.llm import langid as G
 
 
-def test_held_out_accuracy(spark, sf):
+def test_accuracy_on_given_tables(spark, sf):
     docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
     got = G.languages_of(docs, pages).collect()
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -59,3 +59,58 @@ def test_more_than_64_languages(spark):
     got = G.languages_of(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, host int"), spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert len(got) == 320
     assert all(r.lang == langs[r.page_id if r.doc_id is None else r.doc_id // 3] for r in got)
+
+
+def test_held_out_documents(spark, sf):
+    """Models of one half of the documents say the language of the other half from the text alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    languages, model = G.train(docs.filter("doc_id % 2 = 0"))
+    held = [(r.text, r.lang) for r in docs.filter("doc_id % 2 = 1").collect() if len(r.text) > 40]
+    said = [languages[int(np.argmax(model[G.trigrams(t)].sum(axis=0)))] for t, _ in held]
+    assert np.mean([a == b for a, (_, b) in zip(said, held)]) > 0.97
+
+
+def test_other_evidence_decides_where_the_text_is_silent(spark):
+    say = {"de": "der die und ist nicht ein zu das", "en": "the and of is not one to that"}
+    docs = [(k, " ".join(np.roll(say[x].split(), k)), x, "s", 1) for k in range(40) for x in say]
+    pages = [(k, f"http://h{k % 4}.org/{x}/", f"<html lang={x}><p>{say[x]}") for k in range(30) for x in say]
+    pages += [(100, "http://new.net/a", "<html lang=de><p>123"), (101, "http://other.net/de/b", "<p>123"), (102, "http://h.org/en/", "<html lang=en><p>!"), (103, "http://third.edu/a", "<html lang=de><p>the")]
+    got = G.languages_of(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, host int"), spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    fused = {r.page_id: (r.lang, r.text_lang) for r in got if r.page_id is not None}
+    assert [fused[k][0] for k in (100, 101, 102)] == ["de", "de", "en"] and fused[100][0] == fused[101][0] != "en"
+    assert any(lang != text for lang, text in fused.values())
+
+
+def test_documents_say_nothing_of_pages(spark):
+    """However many documents there are, the tables of markup and suffix are those of the pages."""
+    pages = [(k, "h", "de" if k % 2 else "en", None, [0.0, -9.0] if k % 2 else [-9.0, 0.0], False) for k in range(20)] + [(99, "i", None, None, [-1.0, -1.2], False)]
+    docs = [(1000 + k, f"d{k}", None, None, [0.0, -9.0], True) for k in range(200)]
+    kinds = "id long, host string, declared string, suffix string, ll array<double>, silent boolean"
+    a = {r.id: r.posterior for r in G.fuse(spark.createDataFrame(pages + docs[:1], kinds), ["de", "en"], ["id"]).collect()}
+    b = {r.id: r.posterior for r in G.fuse(spark.createDataFrame(pages + docs, kinds), ["de", "en"], ["id"]).collect()}
+    odds = lambda p: p[0] / p[1]
+    assert odds(b[99]) / odds(a[99]) < 25  # the corpus prior moves by 18; were documents in the tables, it would be by hundreds
+    assert len(b) == 221
+
+
+def test_sample_is_bounded_and_blind_to_copies(spark, monkeypatch):
+    monkeypatch.setattr(G, "SAMPLE_PER_LANGUAGE", 5)
+    docs = [(k, f"abc{k:03d}", "en") for k in range(40)] + [(7, "abc007", "en")] * 50
+    languages, model = G.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    counts = np.exp(model[:, 0]) * (0.5 * G.BUCKETS + 5 * 4)  # five texts of four trigrams
+    assert languages == ["en"] and abs((counts - 0.5).sum() - 20) < 1e-6
+
+
+def test_markup_in_one_pass():
+    import re
+    import time
+
+    old = re.compile(r"<script\b.*?</script\b[^>]*>|<style\b.*?</style\b[^>]*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    r = np.random.default_rng(3)
+    bits = ["<p>", "text", "<!--", "-->", "<script>", "</script>", "<STYLE a=b>", "</style>", "<", ">", "é"]
+    for _ in range(3000):
+        page = " ".join(bits[k] for k in r.integers(0, len(bits), r.integers(0, 12)))
+        assert G.visible(page).split() == old.sub(" ", page).split(), page
+    began = time.time()
+    G.visible("<!--" * 100_000), G.visible("<" * 300_000), G.visible("<script>" * 50_000)
+    assert time.time() - began < 5
