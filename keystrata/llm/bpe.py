@@ -204,9 +204,15 @@ def _assemble(kind: pa.DataType):
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """One word bucket for each 8 MB of estimated input, from 16 to 4096."""
+    """One word bucket for each 8 MB of estimated input, 16 at least.
+
+    Beyond 4096 (32 GB) they grow with the fourth root of the input, so that a
+    bucket of a block still holds several words: about 30,000 at 100 TB. Their
+    tasks stream, so a larger bucket takes longer but no more memory.
+    """
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(4096, max(16, size >> 23))
+    wanted = max(16, size >> 23)
+    return wanted if wanted <= 4096 else int(4096 * (wanted / 4096) ** 0.25)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
