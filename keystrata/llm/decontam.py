@@ -1,14 +1,19 @@
-"""Benchmark decontamination: size-partitioned MinHash containment, verified exactly.
-
-Items of up to ``SHORT`` shingles are looked up exactly: of their shingles as many
-are keys as leave too few others for a match, and every shingle of a document is
-asked for. The other items fall into size partitions by the power of two L that
-bounds their number of 5-word shingles. For each partition in use, a document is
-covered by windows of 2L shingles, L apart, so any L shingles in a row lie in
-one window and a short item is compared with a stretch of its own size however
-long the document is. With containment t the Jaccard similarity to that window
-is at least 0.4 t / (2 + 0.1 t), which sets the number of hash functions (one
-row per band): such an item is missed with a chance below one in 10^5.
+"""Benchmark decontamination: size-partitioned MinHash containment, completed and verified exactly.
+
+Items fall into size partitions by the power of two L that bounds their number of
+5-word shingles. For each partition in use, a document is covered by windows of
+2L shingles, L apart, so any L shingles in a row lie in one window and a short
+item is compared with a stretch of its own size however long the document is.
+For an item of more than L/2 shingles at containment t the Jaccard similarity to
+that window is at least 0.5 t / (2 + 0.5 (1 - t)), which sets the number of hash
+functions (one row per band): such an item is missed with a chance below 10^-5.
+
+That leaves items whose shingles are scattered over a document or repeated, and
+items of at most ``SHORT`` shingles, which have no partition. So of each item's n
+shingles, any n - ceil(t n) + 1 are keys of their own, and every shingle of every
+document is asked for: a text with a share t of the item has one of them. With
+these the candidates are complete, and the windows are the faster of two ways to
+most of them.
 
 Keys of the items make a Bloom filter of a fixed maximal size (the only thing
 broadcast), so only window keys that may meet an item leave their task. They are
@@ -34,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, lean, skew_join
+from ._common import cut, lean, skew_join, unused
 
 WORDS = 5
 SHARE = 0.8
@@ -43,6 +48,8 @@ SHORT = 4
 EXACT = np.uint64(0xA0761D6478BD642F)
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
 ROWS_AT_ONCE = 1 << 18
+#: Hashes of texts to leave out are broadcast up to this number (16 bytes each), beyond it joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 _CLEAN = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -95,7 +102,7 @@ def multipliers(n: int) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """The power of two that bounds ``n``; 0 for items that are looked up exactly."""
+    """The power of two that bounds ``n``; 0 for items that have only exact keys."""
     return 0 if n <= SHORT else (n - 1).bit_length()
 
 
@@ -130,13 +137,14 @@ def window_keys(parts: list[np.ndarray], classes: list[int], factors: np.ndarray
 
 
 def item_keys(hashes: np.ndarray, factors: np.ndarray, share: float = SHARE) -> np.ndarray:
-    """The keys of one item in its own size class."""
+    """The keys of one item: as many shingles as leave too few others for a match, and those of its size class."""
     own = np.unique(hashes)
     c = size_class(len(own))
+    exact = exact_keys(own[: len(own) - math.ceil(share * len(own)) + 1])
     if not c:
-        return exact_keys(own[: len(own) - math.ceil(share * len(own)) + 1])
+        return exact
     least = np.array([(hashes * a).min() for a in factors], dtype=np.uint64)
-    return mix(least ^ (np.uint64(c << 32) | np.arange(len(factors), dtype=np.uint64)) * np.uint64(0x9E3779B9))
+    return np.concatenate([exact, mix(least ^ (np.uint64(c << 32) | np.arange(len(factors), dtype=np.uint64)) * np.uint64(0x9E3779B9))])
 
 
 def _item_rows(factors: np.ndarray, share: float):
@@ -163,8 +171,7 @@ def _hits(bloom, bits: int, classes: list[int], factors: np.ndarray):
         table, known, top = np.frombuffer(bloom.value, dtype=np.uint8), _WordHashes(), np.uint64(bits - 1)
 
         def all_keys(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            if classes[0] == 0:
-                yield np.repeat(np.arange(len(parts)), [len(p) for p in parts]), exact_keys(np.concatenate(parts))
+            yield np.repeat(np.arange(len(parts)), [len(p) for p in parts]), exact_keys(np.concatenate(parts))
             if longer:
                 yield from window_keys(parts, longer, factors)
 
@@ -259,8 +266,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
     found = contaminated_texts(docs, items, share)
     if found is None:
         return docs
-    bad = cut(found[1].select(F.col("th").alias("_th")).distinct())
-    return docs.join(bad, F.xxhash64("text") == F.col("_th"), "left_anti")
+    th = unused(docs, "th")
+    bad = cut(found[1].select(F.col("th").alias(th)).distinct())
+    bad = F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
+    return docs.withColumn(th, F.xxhash64("text")).join(bad, th, "left_anti").drop(th)
 
 
 ORACLE = """

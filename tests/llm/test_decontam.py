@@ -79,3 +79,27 @@ def test_short_items_in_long_documents(spark):
         docs.append((k, " ".join(body), "x", 1))
     got = D.contamination(spark.createDataFrame(docs, COLS), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((x.doc_id is None, x.doc_id or 0, x.item_id, x.n_shared, x.n_shingles) for x in got) == brute(docs, items)
+
+
+def test_scattered_and_repeated_shingles(spark):
+    """Items spread over a long document in pieces of one shingle, or made of repeated ones, are found as well."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(9000)]
+    say = lambda n: [r.choice(words) for _ in range(n)]
+    items = [(k, say(r.choice([12, 30, 60]))) for k in range(60)] + [(100 + k, say(6) * 12) for k in range(20)]
+    docs = []
+    for k, q in items:
+        pieces = [q[j : j + 5] for j in range(len(q) - 4)]
+        r.shuffle(pieces)
+        lost = len(pieces) // 5 if k % 2 else len(pieces) // 3
+        docs.append((k, " ".join(w for piece in pieces[lost:] for w in [*say(40), *piece, *say(40)]), "x", 1))
+    items = [(k, " ".join(q)) for k, q in items]
+    got = D.contamination(spark.createDataFrame(docs, COLS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.item_id, x.n_shared, x.n_shingles) for x in got) == want and len(want) > 30
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "one two three four five six", "a", "b", "c"), (2, "clean text", "a", "b", "c")], "doc_id long, text string, _th string, TH string, th_ string")
+    left = D.decontaminate(d, spark.createDataFrame([(1, "one two three four five")], "item_id long, text string"))
+    assert [tuple(x) for x in left.collect()] == [(2, "clean text", "a", "b", "c")] and left.columns == d.columns
