@@ -6,8 +6,9 @@ size, is one entry. Two fingerprints that differ in at most ``radius`` bits
 agree on at least ``keep`` of ``radius + keep`` bit blocks; each choice of
 ``keep`` blocks names a shard, and entries meet only in shards of two or more.
 A shard of up to ``tree_size`` entries is one BK-tree; a larger one is cut into
-several, and each tree is sent to the entries of the trees after it, so memory
-stays bounded and no link is lost. The search follows only edges whose integer
+several, and each tree is met by the entries of the trees after it, so memory
+stays bounded and no link is lost. (A tree is built where its entries meet, in a
+shuffled group, rather than broadcast: all trees together grow with the corpus.) The search follows only edges whose integer
 distance lies within the radius. A shard returns a spanning forest of its links
 (never all pairs); components are joined on the cluster.
 
@@ -131,10 +132,10 @@ class _Forest:
 
 
 def shard_links(tree_of: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``tree_of`` and between it and ``queries``."""
+    """A spanning forest of the links between ``tree_of`` and ``queries``, or among ``tree_of`` if there are none."""
     tree, forest, links = BKTree(), _Forest(), []
     for v in tree_of:
-        for at in tree.within(v, radius):
+        for at in tree.within(v, radius) if not queries else ():
             if forest.join(v, tree.values[at]):
                 links.append((v, tree.values[at]))
         tree.add(v)
@@ -175,7 +176,7 @@ def links(entries: DataFrame, radius: int = 3, keep: int = 2, tree_size: int = 4
     cuts = F.ceil(F.col("n") / tree_size).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
     met = parts.join(sizes, ["mask", "part"]).withColumn("cuts", cuts).withColumn("own", own)
-    # part `own` is a tree once, with the same entries as its first queries (i = j), and asks every tree before it
+    # part `own` is a tree whose entries look for each other once (i = j), and asks every tree before it
     sent = met.select("mask", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("k")).select(
         "mask", "part", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), (F.col("own") > F.col("k")).alias("asked"), "fp"
     )
@@ -193,21 +194,3 @@ def components(docs: DataFrame, radius: int = 3, keep: int = 2, tree_size: int =
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "n", "component_id")
     return skew_join(prints, named, "fp", "n", total).drop("n")
-
-
-def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` less all but one of each component: the one with the smallest doc_id stays.
-
-    Of several rows with that doc_id the one with the smallest text hash stays,
-    of equal rows one; where every doc_id of a component is null, one row stays.
-    """
-    prints = cut(docs.select("doc_id", F.xxhash64("text").alias("_h"), "text").mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _h long, fp long"))
-    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("_h").alias("h"))
-    entries = cut(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(links(entries.select("fp"), radius))
-    rooted = entries.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_th"))
-    own = docs.withColumn("_h", F.xxhash64("text"))
-    # keep has one row for each component; equal rows beyond the first go by their number within (doc_id, hash)
-    stay = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_h"]).drop("_h")

@@ -1,12 +1,14 @@
 """The pipeline against a brute-force version, stage by stage, in plain Python."""
 
+import glob
 import hashlib
+import os
 import random
 
 import public_tokenizers as T
 import tiktoken
 
-from keystrata.llm import bpe, decontam, pii, quality, simhash
+from keystrata.llm import bpe, decontam, neardup, quality
 
 
 def make(tmp_path, spark):
@@ -38,7 +40,7 @@ def test_run_against_brute_force(spark, tmp_path):
     docs, items = make(tmp_path, spark)
     crf = quality.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
     kept = [(d, t) for d, t in docs if quality.judge(t, crf)[6]]
-    fps = [simhash.fingerprint(t) for _, t in kept]
+    sets = [decontam.shingles((t or "").encode().lower().split()) for _, t in kept]
     up = list(range(len(kept)))
 
     def root(x):
@@ -48,7 +50,7 @@ def test_run_against_brute_force(spark, tmp_path):
 
     for i in range(len(kept)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if sets[i] == sets[j] or neardup.similar(sets[i], sets[j]):
                 up[root(i)] = root(j)
     groups = {}
     for i in range(len(kept)):
@@ -66,6 +68,10 @@ def test_run_against_brute_force(spark, tmp_path):
     key = lambda x: (x[0] is None, x[0] or 0, x[2])
     assert sorted(got, key=key) == sorted(want, key=key)
     assert {d for d, *_ in want} < {d for d, _ in docs}
+    from keystrata.llm._common import shared_folder
+
+    left = [sorted(os.listdir(f)) for f in glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-*")]
+    assert left and all(f == ["4_encode_tokens"] for f in left)
 
 
 def test_stages_keep_columns_on_an_empty_table(spark, tmp_path):

@@ -85,14 +85,6 @@ def test_split_trees_lose_no_link(spark):
     assert dict(whole[5]) == {f: root(f) for f in fps if any(root(g) == root(f) for g in fps if g != f)}
 
 
-def test_near_duplicates_keeps_one_of_each(spark):
-    docs = make()
-    got = S.near_duplicates(spark.createDataFrame(docs, COLS))
-    assert got.columns == ["doc_id", "text", "fp"]
-    assert len(got.collect()) == len({x[3] if x[3] or not x[0] else ("null", x[2]) for x in brute(docs)})
-    assert S.near_duplicates(spark.createDataFrame([], COLS)).count() == 0
-
-
 def test_tree_search():
     r = random.Random(2)
     values = [r.getrandbits(12) for _ in range(300)]
