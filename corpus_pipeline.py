@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with Jaccard 0.8 or more of 5-word shingles."""
+    """One document of each component of texts with Jaccard 0.8 or more of 5-word shingles, by SimHash trees and what they can't see."""
     return neardup.near_duplicates(docs)
 
 
@@ -57,11 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result but the last is written as Parquet to the shared folder and read again."""
+    """Apply the stages to ``documents``; each result is written as Parquet to the shared folder and read again.
+
+    A stage's folder is deleted once the next one is written. The last one stays, as the returned rows are read from it.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        own = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(own)
+        docs = spark.read.parquet(own)
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = own
     return docs
