@@ -52,6 +52,8 @@ SAMPLE, LEAST_COUNT, MOST_FREQUENT = 10_000, 3, 100_000
 TILE = 2048
 #: Key tables of up to this many rows (16 bytes each) are broadcast; larger ones are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: List entries that one task sorts; there are never more tasks than the session's shuffle partitions.
+SORTED_AT_ONCE = 400_000
 
 
 def similar(a: set[bytes], b: set[bytes]) -> bool:
@@ -290,7 +292,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = ("n", "tokens", "fp", "sketch")
     entries = cut(prints.groupBy("s").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in rest]))
     lists = entries.select("s", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "s", "n", "pos")
-    met = cut(lists.repartition("token").sortWithinPartitions("token", "n", "s").mapInArrow(lean(_met, 10_000), "token long, s long, n int, pos int, before long"))
+    size = entries.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    tasks = min(size // SORTED_AT_ONCE + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = cut(lists.repartition(tasks, "token").sortWithinPartitions("token", "n", "s").mapInArrow(lean(_met, 10_000), "token long, s long, n int, pos int, before long"))
     slim = entries.select("s", "first", "n", "sketch")
     tried = cut(cheap_pairs(entries.select("s", "n", "fp"), met))
     links = cut(verified(tried, slim, docs))
