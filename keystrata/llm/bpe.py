@@ -215,8 +215,8 @@ def bucket_count(docs: DataFrame) -> int:
     return wanted if wanted <= 4096 else int(4096 * (wanted / 4096) ** 0.25)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) for every row; ids are little-endian unsigned 32-bit integers."""
+def _coded(docs: DataFrame, known, pattern: str) -> tuple[DataFrame, pa.DataType, str]:
+    """Rows of blocks with coded words, whole and in order; also the type of doc_id."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, name = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
@@ -224,11 +224,24 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     blocks = docs.select("doc_id", "text").mapInArrow(lean(_blocks(pattern, kind, bucket_count(docs))), rows)
     # words meet by bucket; the heads of the blocks travel along, spread by block
     met = blocks.repartition(F.when(F.col("bucket") == HEAD, F.xxhash64("block")).otherwise(F.col("bucket").cast("long")))
-    coded = met.mapInArrow(lean(_encode_words(docs.sparkSession.sparkContext.broadcast(ranks), pattern), 100), rows)
-    ordered = coded.repartition("block").sortWithinPartitions("block", "bucket")
+    coded = met.mapInArrow(lean(_encode_words(known, pattern), 100), rows)
+    return coded.repartition("block").sortWithinPartitions("block", "bucket"), kind, name
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) for every row; ids are little-endian unsigned 32-bit integers."""
+    ordered, kind, name = _coded(docs, docs.sparkSession.sparkContext.broadcast(ranks), pattern)
     return ordered.mapInArrow(lean(_assemble(kind), 100), f"doc_id {name}, n_tokens long, ids binary")
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ``decode(encode(...))`` by one Python worker a task instead of two."""
+    known = docs.sparkSession.sparkContext.broadcast(ranks)
+    ordered, kind, name = _coded(docs, known, pattern)
+    assemble, back = _assemble(kind), _decode(known)
+    return ordered.mapInArrow(lean(lambda batches: back(assemble(batches)), 100), f"doc_id {name}, n_tokens long, ids binary, decoded binary")
+
+
 def _decode(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
