@@ -98,6 +98,12 @@ class ItemRuns:
         return run >= self.least and int.from_bytes(digest(item)[:8], "little") & self.mask == 0
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where they come in fewer partitions than those (one input file, say); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunks(files: DataFrame, least: int = 0, normal: int = 0, most: int = 0) -> DataFrame:
     """(file_id, pos, offset, length, chunk) rows of files (file_id, data): a file is cut inside one task, files in parallel."""
 
@@ -111,4 +117,4 @@ def chunks(files: DataFrame, least: int = 0, normal: int = 0, most: int = 0) ->
                 yield pd.DataFrame(rows, columns=["file_id", "pos", "offset", "length", "chunk"])
 
     kind = files.schema["file_id"].dataType.simpleString()
-    return files.select("file_id", "data").mapInPandas(run, f"file_id {kind}, pos long, offset long, length long, chunk binary")
+    return spread(files.select("file_id", "data")).mapInPandas(run, f"file_id {kind}, pos long, offset long, length long, chunk binary")

@@ -27,7 +27,10 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataF
         if len(parts) > 8:  # keep the anti-join's plan short
             parts = [cut(_union(parts))]
         seen = _union(parts)
-    return _double(links, seen, frontier)
+    # what lies behind the frontier is done; jumps are made of the other edges only
+    behind = seen.filter(F.col("depth") < depth).select(F.col("key").alias("parent"))
+    rest = links.join(seen.select(F.col("key").alias("child")), "child", "left_anti").join(behind, "parent", "left_anti").select("parent", "child")
+    return _double(cut(rest), cut(seen))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -37,7 +40,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _double(links: DataFrame, seen: DataFrame, frontier: DataFrame) -> DataFrame:
+def _double(links: DataFrame, seen: DataFrame) -> DataFrame:
     """Reach the rest in log2 rounds: jumps of twice the length each round, every reached key jumping at once."""
     jumps, reached = cut(links.withColumn("far", F.lit(1).cast("long"))), seen
     while True:

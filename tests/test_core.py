@@ -373,3 +373,56 @@ def test_scrub_finds_bad_records(spark):
     index = spark.createDataFrame([(0, bytearray(keys[0]), 0), (1, bytearray(keys[1]), 100), (0, bytearray(keys[2]), 200), (1, bytearray(keys[3]), 333)], "seg_id long, key binary, off long")
     got = {(x.seg_id, x.off, x.fault) for x in gc.scrub(records, index).collect()}
     assert got == {(0, 0, "bad checksum"), (0, 0, "no record"), (0, 200, "hash differs"), (1, 900, "short record"), (1, 300, "not indexed"), (1, 333, "no record")}
+
+
+def test_of_two_writers_one_conflicts_and_changes_nothing(spark, tmp_path):
+    from keystrata.operators import refs
+
+    a, b = refs.RefTable(spark, f"{tmp_path}/refs"), refs.RefTable(spark, f"{tmp_path}/refs")
+    a.put("x", "first")
+    v, stale = b.version(), b.all()
+    a.put("x", "from a")
+    with pytest.raises(refs.Conflict):
+        b._publish(refs.upsert(stale, b._row("x", "from b", "", 0)), v)
+    assert a.get("x") == b.get("x") == "from a" and a.version() == 2
+    assert sum(n.startswith("rows-") for n in os.listdir(f"{tmp_path}/refs")) == 2
+    with pytest.raises(refs.Conflict):
+        b.compare_and_swap("x", "first", "late")
+    b.compare_and_swap("x", "from a", "swapped")
+    with pytest.raises(refs.Conflict):
+        a.create("x", "k")
+    a.create("y", "k")
+    with pytest.raises(refs.Conflict):
+        a.compare_and_delete("y", "other")
+    a.delete("y")
+    with pytest.raises(refs.NotFound):
+        b.get("y")
+    assert a.get("x") == "swapped"
+
+
+def test_many_victims_under_a_budget(spark):
+    from keystrata.operators import gc
+
+    r = random.Random(5)
+    packs = [(k, r.randrange(1000), r.randrange(1, 1000)) for k in range(20_000)]
+    scores = spark.createDataFrame(packs, "seg_id long, live_bytes long, dead_bytes long").withColumns({"dead_keys": F.lit(1), "sealed_at": F.lit(0)})
+    skipped = spark.createDataFrame([(k,) for k in range(0, 20_000, 3)], "seg_id long")
+    left, want = 1_000_000, set()
+    for k, live, dead in sorted((p for p in packs if p[2] >= 0.5 * (p[1] + p[2])), key=lambda p: (p[0] % 3 == 0, p[0])):
+        if live <= left:
+            left -= live
+            want.add(k)
+    got = gc.select_victims(scores, None, 0.5, 1_000_000, skipped).filter("taken").collect()
+    assert {x.seg_id for x in got} == want
+
+
+def test_deep_and_wide_walks(spark):
+    from keystrata.operators import graph
+
+    chain = [(k, k + 1) for k in range(700)]
+    wide = [(1_000_000, 1_000_001 + k) for k in range(500)] + [(1_000_001 + k, 2_000_000) for k in range(500)] + [(2_000_000, 1_000_000)]
+    edges = spark.createDataFrame(chain + wide, "parent long, child long")
+    got = {x.key: x.depth for x in graph.closure(edges, spark.createDataFrame([(0,)], "key long"), most_rounds=7).collect()}
+    assert got == {k: k for k in range(701)}
+    got = {x.key: x.depth for x in graph.closure(edges, spark.createDataFrame([(1_000_000,)], "key long")).collect()}
+    assert got == {1_000_000: 0, 2_000_000: 2} | {1_000_001 + k: 1 for k in range(500)}
