@@ -85,7 +85,7 @@ def _rows(kind: pa.DataType) -> pa.Schema:
     return pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("ids", pa.list_(kind))])
 
 
-def _blocks(pattern: str, kind: pa.DataType, buckets: int):
+def _blocks(pattern: str, kind: pa.DataType, buckets: int, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -121,7 +121,7 @@ def _blocks(pattern: str, kind: pa.DataType, buckets: int):
                 counts.append(len(found))
                 tokens += [number.setdefault(w, len(number)) for w in found]
                 chars += len(t or "") + 100
-                if chars >= BLOCK_CHARS:
+                if chars >= block_chars:
                     out = block()
                     made += 1
                     ids, counts, tokens, number, chars = [], [], [], {}, 0  # freed before the rows are sent
@@ -215,29 +215,29 @@ def bucket_count(docs: DataFrame) -> int:
     return wanted if wanted <= 4096 else int(4096 * (wanted / 4096) ** 0.25)
 
 
-def _coded(docs: DataFrame, known, pattern: str) -> tuple[DataFrame, pa.DataType, str]:
+def _coded(docs: DataFrame, known, pattern: str, block_chars: int) -> tuple[DataFrame, pa.DataType, str]:
     """Rows of blocks with coded words, whole and in order; also the type of doc_id."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, name = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
     rows = f"block long, bucket int, a binary, b binary, c binary, ids array<{name}>"
-    blocks = docs.select("doc_id", "text").mapInArrow(lean(_blocks(pattern, kind, bucket_count(docs))), rows)
+    blocks = docs.select("doc_id", "text").mapInArrow(lean(_blocks(pattern, kind, bucket_count(docs), block_chars)), rows)
     # words meet by bucket; the heads of the blocks travel along, spread by block
     met = blocks.repartition(F.when(F.col("bucket") == HEAD, F.xxhash64("block")).otherwise(F.col("bucket").cast("long")))
     coded = met.mapInArrow(lean(_encode_words(known, pattern), 100), rows)
     return coded.repartition("block").sortWithinPartitions("block", "bucket"), kind, name
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row; ids are little-endian unsigned 32-bit integers."""
-    ordered, kind, name = _coded(docs, docs.sparkSession.sparkContext.broadcast(ranks), pattern)
+    ordered, kind, name = _coded(docs, docs.sparkSession.sparkContext.broadcast(ranks), pattern, block_chars)
     return ordered.mapInArrow(lean(_assemble(kind), 100), f"doc_id {name}, n_tokens long, ids binary")
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded): ``decode(encode(...))`` by one Python worker a task instead of two."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): ``decode(encode(...))`` by one Python worker a task instead of two; smaller blocks take less memory and more shuffle."""
     known = docs.sparkSession.sparkContext.broadcast(ranks)
-    ordered, kind, name = _coded(docs, known, pattern)
+    ordered, kind, name = _coded(docs, known, pattern, block_chars)
     assemble, back = _assemble(kind), _decode(known)
     return ordered.mapInArrow(lean(lambda batches: back(assemble(batches)), 100), f"doc_id {name}, n_tokens long, ids binary, decoded binary")
 
