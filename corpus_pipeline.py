@@ -40,7 +40,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id with its tokens, and digests of the ids and of their decoding."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    found = bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, block_chars=2 << 20)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
