@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import render as R
 from ..operators import gc, graph, refs, stats, store, tree
-from ..session import cut, table
+from ..session import cut, ensure_checkpoint_dir, table
 from . import derived as D
 from . import native
 
@@ -342,6 +343,22 @@ def refs_update_batch(spark, d):
     return refs.update_batch(now, records, withdrawn)[0]
 
 
+@query("select concat('n', n_nationkey) as name, concat('k', case when n_nationkey = 3 then 300 else n_regionkey end) as key from nation where n_nationkey <> 4 union all select 'new', 'k0'")
+def refs_table(spark, d):
+    """References on disk after a batch, a swap, a late swap (refused), a creation and a deletion."""
+    ensure_checkpoint_dir(spark)
+    kept = refs.RefTable(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/refs-{uuid.uuid4().hex}")
+    kept.put_batch(table(spark, d, "nation").selectExpr("concat('n', n_nationkey) as name", "concat('k', n_regionkey) as key", "'' as user", "0L as created_at_ns", "1 as pos"))
+    old = kept.get("n3")
+    kept.compare_and_swap("n3", old, "k300")
+    try:
+        kept.compare_and_swap("n3", old, "late")
+    except refs.Conflict:
+        kept.create("new", "k0")
+    kept.compare_and_delete("n4", kept.get("n4"))
+    return kept.all().select("name", "key")
+
+
 @query("""
 with v as (select event_type, list_sort(list(value)) as x from events group by event_type)
 select event_type, x[least(len(x), (len(x) * 0.5)::decimal(18,3)::bigint + 1)] as median, x[least(len(x), floor(len(x) * 0.9)::bigint + 1)] as p90, x[len(x)] as most from v""".replace("(len(x) * 0.5)::decimal(18,3)::bigint", "floor(len(x) * 0.5)::bigint"))
