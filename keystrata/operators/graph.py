@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..session import cut
 
@@ -14,7 +15,21 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataF
     Each round expands only what was new in the round before. A deep chain
     (rounds beyond ``most_rounds``) is finished by pointer doubling.
     """
-    links = cut(edges.select("parent", "child").distinct())  # read in every round, so made once
+    links = by_parent(edges)
+    try:
+        return _walk(links, roots, most_rounds)
+    finally:
+        links.unpersist()
+
+
+def by_parent(edges: DataFrame) -> DataFrame:
+    """(parent, child) shuffled and sorted by parent once and kept on the executors' disks, so that no round shuffles or
+    sorts an edge again; lost parts are made anew from ``edges``. Repeated edges stay, as rounds merge what they find."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.select("parent", "child").repartition(n, "parent").sortWithinPartitions("parent").persist(StorageLevel.DISK_ONLY)
+
+
+def _walk(links: DataFrame, roots: DataFrame, most_rounds: int) -> DataFrame:
     frontier = cut(roots.select("key").distinct().withColumn("depth", F.lit(0).cast("long")))
     parts, seen, depth = [frontier], frontier, 0
     while depth < most_rounds:
@@ -27,9 +42,9 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataF
         if len(parts) > 8:  # keep the anti-join's plan short
             parts = [cut(_union(parts))]
         seen = _union(parts)
-    # what lies behind the frontier is done; jumps are made of the other edges only
+    # what lies behind the frontier is done; jumps are made of the other edges only, each once
     behind = seen.filter(F.col("depth") < depth).select(F.col("key").alias("parent"))
-    rest = links.join(seen.select(F.col("key").alias("child")), "child", "left_anti").join(behind, "parent", "left_anti").select("parent", "child")
+    rest = links.join(behind, "parent", "left_anti").join(seen.select(F.col("key").alias("child")), "child", "left_anti").select("parent", "child").distinct()
     return _double(cut(rest), cut(seen))
 
 

@@ -426,3 +426,28 @@ def test_deep_and_wide_walks(spark):
     assert got == {k: k for k in range(701)}
     got = {x.key: x.depth for x in graph.closure(edges, spark.createDataFrame([(1_000_000,)], "key long")).collect()}
     assert got == {1_000_000: 0, 2_000_000: 2} | {1_000_001 + k: 1 for k in range(500)}
+
+
+def shuffled_records(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_a_walk_shuffles_its_edges_once(spark):
+    chain = spark.range(12).selectExpr("id as parent", "id + 1 as child")
+    edges = chain.unionByName(chain).unionByName(spark.range(1000, 31_000).selectExpr("id as parent", "-id as child"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_records(spark)
+        got = {x.key: x.depth for x in graph.closure(edges, spark.createDataFrame([(0,)], "key long")).collect()}
+        assert got == {k: k for k in range(13)}
+        assert shuffled_records(spark) - before < 2 * 30_024
+        # repeated edges in a chain that is finished by doubling
+        got = {x.key: x.depth for x in graph.closure(edges, spark.createDataFrame([(0,)], "key long"), most_rounds=3).collect()}
+        assert got == {k: k for k in range(13)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
