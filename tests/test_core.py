@@ -451,3 +451,21 @@ def test_a_walk_shuffles_its_edges_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+
+
+def test_chunks_leave_in_small_batches():
+    import pyarrow as pa
+
+    r = random.Random(9)
+    files = [b"", None, b"a" * 70, r.randbytes(300_000), r.randbytes(5000), b"\xaa" * 90_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"f{k}" for k in range(6)]), pa.array(files, pa.binary())], ["file_id", "data"]).slice(1)
+    out = list(C.cut_batches(256, 1024, 4096, 20_000)(iter([batch])))
+    assert len(out) > 10 and max(sum(b.column("length").to_pylist()) for b in out) < 20_000 + 4096
+    got = [tuple(x.values()) for b in out for x in b.to_pylist()]
+    want = []
+    for k, data in enumerate(files):
+        at = 0
+        for n, size in enumerate(C.split_bytes(data or b"", 256, 1024, 4096)):
+            want.append((f"f{k}", n, at, size, data[at : at + size]))
+            at += size
+    assert got == want
