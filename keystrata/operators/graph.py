@@ -1,7 +1,14 @@
-"""Reachability over edges(parent, child, leaf): frontier rounds, cut by checkpoints."""
+"""Reachability over edges(parent, child, leaf): frontier rounds, cut by checkpoints.
+
+``leaf`` says that the child has no edges of its own; edges without that column may lead anywhere. No walk goes on from
+a leaf, so edges to leaves are used once, after a walk down or before a walk up, and never kept.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -15,11 +22,27 @@ def closure(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataF
     Each round expands only what was new in the round before. A deep chain
     (rounds beyond ``most_rounds``) is finished by pointer doubling.
     """
-    links = by_parent(edges)
-    try:
-        return _walk(links, roots, most_rounds)
-    finally:
-        links.unpersist()
+    inner, last = _split(edges)
+    parts = _rounds(inner, roots, None, most_rounds)
+    return _union([p.rows for p in (parts if last is None else _to_leaves(last, parts))])
+
+
+def closure_up(edges: DataFrame, keys: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(key, depth): ``keys`` and everything that reaches them, each once, with its least distance."""
+    inner, last = _split(edges)
+    return _union([p.rows for p in _rounds(_turned(inner), keys, None if last is None else _turned(last), most_rounds)])
+
+
+def _split(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges between inner keys, and those to leaves."""
+    if "leaf" not in edges.columns:
+        return edges.select("parent", "child"), None
+    leaf = F.coalesce("leaf", F.lit(False))
+    return edges.filter(~leaf).select("parent", "child"), edges.filter(leaf).select("parent", "child")
+
+
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
 
 
 def by_parent(edges: DataFrame) -> DataFrame:
@@ -29,23 +52,96 @@ def by_parent(edges: DataFrame) -> DataFrame:
     return edges.select("parent", "child").repartition(n, "parent").sortWithinPartitions("parent").persist(StorageLevel.DISK_ONLY)
 
 
-def _walk(links: DataFrame, roots: DataFrame, most_rounds: int) -> DataFrame:
-    frontier = cut(roots.select("key").distinct().withColumn("depth", F.lit(0).cast("long")))
-    parts, seen, depth = [frontier], frontier, 0
+@dataclass(frozen=True)
+class _Found:
+    """Rows (key, depth), their number and size, and their least and greatest key: strings as bytes, None if there is none
+    or (``ordered`` unset) their order is not known."""
+
+    rows: DataFrame
+    n: int
+    size: int
+    ordered: bool
+    least: Any = None
+    most: Any = None
+
+    def meets(self, other: _Found) -> bool:
+        """May both have a key in common? (null joins nothing)"""
+        if not (self.ordered and other.ordered):
+            return True
+        return None not in (self.least, other.least) and self.least <= other.most and other.least <= self.most
+
+
+#: Types whose values order in Python as in Spark (a string by its bytes, valid UTF-8 or not).
+_ORDERED = ("string", "binary", "tinyint", "smallint", "int", "bigint")
+
+
+def _found(rows: DataFrame) -> _Found:
+    rows, kind = cut(rows), dict(rows.dtypes)["key"]
+    if kind not in _ORDERED:
+        return _Found(rows, rows.count(), 1 << 62, False)
+    as_read, size = "binary" if kind == "string" else kind, F.octet_length("key") if kind in ("string", "binary") else F.lit(8)
+    n, size, *ends = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size + F.lit(64)), F.lit(0)), F.min("key").cast(as_read), F.max("key").cast(as_read)).first()
+    return _Found(rows, n, size, True, *ends)
+
+
+def _leave(parts: list[_Found], edges: DataFrame, broadcast: int = 8 << 20, hashed: int = 64 << 20) -> DataFrame:
+    """(parent, depth, child): edges, read once, that leave any of ``parts``. These are broadcast up to so many bytes,
+    and become hash tables up to so many in a partition."""
+    rows, size = _union([p.rows for p in parts]).select(F.col("key").alias("parent"), "depth"), sum(p.size for p in parts)
+    if size <= broadcast:
+        return F.broadcast(rows).join(edges, "parent")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.hint("shuffle_hash") if size <= hashed * n else rows).join(edges.repartition(n, "parent"), "parent")
+
+
+def _to_leaves(last: DataFrame, parts: list[_Found]) -> list[_Found]:
+    """``parts`` and the leaves behind them; keys found on both ways keep their lesser depth."""
+    found = _found(_leave(parts, last).groupBy(F.col("child").alias("key")).agg((F.min("depth") + 1).alias("depth")))
+    met = [p for p in parts if p.meets(found)]
+    if met:
+        found = _found(_union([p.rows for p in [*met, found]]).groupBy("key").agg(F.min("depth").alias("depth")))
+    return [*(p for p in parts if p not in met), found]
+
+
+def _rounds(edges: DataFrame, roots: DataFrame, first: DataFrame | None, most_rounds: int) -> list[_Found]:
+    """Disjoint parts of all that ``edges`` reach from ``roots``, the first step by edges of ``first`` too."""
+    links = by_parent(edges)
+    try:
+        return _walk(links, roots, first, most_rounds)
+    finally:
+        links.unpersist()
+
+
+def _walk(links: DataFrame, roots: DataFrame, first: DataFrame | None, most_rounds: int) -> list[_Found]:
+    """Keys of a round often lie apart from earlier ones (another kind, a later number). A round then reads only the edges
+    between its least and greatest parent, and only earlier rounds whose keys its own may repeat are compared with it."""
+    frontier = _found(roots.select("key").distinct().withColumn("depth", F.lit(0).cast("long")))
+    kinds = {dict(roots.dtypes)["key"], *dict(links.dtypes).values()}
+    ordered = len(kinds) == 1 and frontier.ordered
+    parts, mixed, depth = [frontier], not ordered, 0
     while depth < most_rounds:
+        near = links.filter(F.col("parent").between(*[F.lit(x).cast(*kinds) for x in (frontier.least, frontier.most)])) if ordered else links
+        step = frontier.rows.select(F.col("key").alias("parent")).join(near, "parent").select(F.col("child").alias("key"))
+        if depth == 0 and first is not None:
+            step = step.unionByName(_leave([frontier], first).select(F.col("child").alias("key")))
         depth += 1
-        step = frontier.select(F.col("key").alias("parent")).join(links, "parent").select(F.col("child").alias("key")).distinct()
-        frontier = cut(step.join(seen.select("key"), "key", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        if frontier.isEmpty():
-            return seen
+        rows, met = step.distinct().withColumn("depth", F.lit(depth).cast("long")), parts
+        if not mixed:
+            frontier = _found(rows)
+            rows, met = frontier.rows, [p for p in parts if p.meets(frontier)]
+            mixed = 2 * sum(p.n for p in met) > sum(p.n for p in parts)  # then later rounds are compared with all at once
+        if met:
+            frontier = _found(rows.join(_union([p.rows for p in met]).select("key"), "key", "left_anti"))
+        if frontier.n == 0:
+            return parts
         parts.append(frontier)
-        if len(parts) > 8:  # keep the anti-join's plan short
-            parts = [cut(_union(parts))]
-        seen = _union(parts)
+        if len(parts) > 9:  # keep the anti-join's plan short
+            parts = [_found(_union([p.rows for p in parts]))]
     # what lies behind the frontier is done; jumps are made of the other edges only, each once
+    seen = _union([p.rows for p in parts])
     behind = seen.filter(F.col("depth") < depth).select(F.col("key").alias("parent"))
     rest = links.join(behind, "parent", "left_anti").join(seen.select(F.col("key").alias("child")), "child", "left_anti").select("parent", "child").distinct()
-    return _double(cut(rest), cut(seen))
+    return [_found(_double(cut(rest), cut(seen)))]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -87,14 +183,12 @@ def mark_live(edges: DataFrame, refs: DataFrame) -> DataFrame:
 
 def why(edges: DataFrame, refs: DataFrame, keys: DataFrame) -> DataFrame:
     """(name): references that reach any of ``keys``, sorted; walks edges backwards from the keys."""
-    back = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    return refs.join(closure(back, keys).select("key"), "key", "left_semi").select("name").distinct().orderBy("name")
+    return refs.join(closure_up(edges, keys).select("key"), "key", "left_semi").select("name").distinct().orderBy("name")
 
 
 def reaches(edges: DataFrame, roots: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``roots`` that reach any of ``keys``."""
-    back = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    return roots.join(closure(back, keys).select("key"), "key", "left_semi")
+    return roots.join(closure_up(edges, keys).select("key"), "key", "left_semi")
 
 
 def unreachable_from(edges: DataFrame, roots: DataFrame, candidates: DataFrame, order: str = "pos") -> DataFrame:

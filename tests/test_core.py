@@ -469,3 +469,54 @@ def test_chunks_leave_in_small_batches():
             want.append((f"f{k}", n, at, size, data[at : at + size]))
             at += size
     assert got == want
+
+
+def test_edges_to_leaves_are_read_once_and_not_shuffled_for_few_parents(spark):
+    inner = spark.range(6).selectExpr("concat('a', id) as parent", "concat('a', id + 1) as child", "false as leaf")
+    edges = inner.unionByName(spark.range(30_000).selectExpr("concat('a', id % 6) as parent", "concat('l', id % 10) as child", "true as leaf"))
+    roots, refs = spark.sql("select 'a2' as key"), spark.sql("select concat('r', id) as name, concat('a', id) as key from range(7)")
+    before = shuffled_records(spark)
+    want = {f"a{k}": k - 2 for k in range(2, 7)} | {f"l{k}": 1 + k % 2 for k in range(10)}  # even parents have the even leaves
+    assert {x.key: x.depth for x in graph.closure(edges, roots).collect()} == want
+    assert [x.name for x in graph.why(edges, refs, spark.sql("select 'l3' as key")).collect()] == ["r0", "r1", "r2", "r3", "r4", "r5"]
+    assert {x.key for x in graph.reaches(edges, refs, spark.sql("select 'a3' as key")).collect()} == {"a0", "a1", "a2", "a3"}
+    assert shuffled_records(spark) - before < 2000
+    parts = [graph._found(spark.sql("select concat('a', id) as key, id as depth from range(4)"))]
+    ways = [graph._leave(parts, edges.select("parent", "child"), *limits) for limits in ((8 << 20,), (0, 64 << 20), (0, 0))]
+    assert len({str(sorted(map(tuple, way.select("parent", "child", "depth").collect()))) for way in ways}) == 1 and ways[2].count() == 20_004
+
+
+def test_a_leaf_found_on_two_ways_keeps_its_lesser_depth(spark):
+    rows = [("r", "a", False), ("a", "b", None), ("b", "x", False), ("r", "x", True), ("b", "y", True), ("b", None, True)]
+    edges = spark.createDataFrame(rows, "parent string, child string, leaf boolean")
+    got = graph.closure(edges, spark.sql("select 'r' as key")).collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 1), ("b", 2), ("r", 0), ("x", 1), ("y", 3), (None, 3)]
+
+
+def test_rounds_that_lie_apart_are_not_compared(spark):
+    edges = spark.range(9000).selectExpr("concat(substring('abc', cast(id % 3 as int) + 1, 1), id div 3) as parent", "concat(substring('bcd', cast(id % 3 as int) + 1, 1), id div 3) as child")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_records(spark)
+        got = graph.closure(edges, spark.range(3000).selectExpr("concat('a', id) as key")).groupBy("depth").count().collect()
+        assert {x["depth"]: x["count"] for x in got} == {k: 3000 for k in range(4)}
+        assert shuffled_records(spark) - before < 40_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_walks_over_keys_of_any_bytes(spark):
+    r = random.Random(11)
+    keys = [bytes(r.choice(b"\x00a\x7f\x80\xc3\xbf\xef\xff") for _ in range(r.randrange(4))).hex() for _ in range(150)]
+    links = [(r.choice(keys), r.choice(keys)) for _ in range(190)]
+    seen, at, depth = {keys[0]: 0}, {keys[0]}, 0
+    while at:
+        depth += 1
+        at = {b for a, b in links if a in at} - seen.keys()
+        seen |= dict.fromkeys(at, depth)
+    pairs = spark.createDataFrame(links, "a string, b string")
+    for cast in ("string", "binary"):
+        edges = pairs.select(F.unhex("a").cast(cast).alias("parent"), F.unhex("b").cast(cast).alias("child"))
+        got = graph.closure(edges, spark.sql(f"select cast(unhex('{keys[0]}') as {cast}) as key")).selectExpr("lower(hex(key)) as key", "depth").collect()
+        assert sorted(map(tuple, got)) == sorted(seen.items())
