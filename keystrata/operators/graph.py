@@ -173,7 +173,8 @@ def reachable_keys(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def incomplete(edges: DataFrame, roots: DataFrame, objects: DataFrame) -> DataFrame:
     """Reachable keys that the store lacks (empty: complete), nearest first."""
-    return closure(edges, roots).join(objects.select("key"), "key", "left_anti").orderBy("depth", "key")
+    lacking = cut(closure(edges, roots).join(objects.select("key"), "key", "left_anti"))  # else the sort's sample would join again
+    return lacking.orderBy("depth", "key")
 
 
 def mark_live(edges: DataFrame, refs: DataFrame) -> DataFrame:

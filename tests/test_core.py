@@ -520,3 +520,11 @@ def test_walks_over_keys_of_any_bytes(spark):
         edges = pairs.select(F.unhex("a").cast(cast).alias("parent"), F.unhex("b").cast(cast).alias("child"))
         got = graph.closure(edges, spark.sql(f"select cast(unhex('{keys[0]}') as {cast}) as key")).selectExpr("lower(hex(key)) as key", "depth").collect()
         assert sorted(map(tuple, got)) == sorted(seen.items())
+
+
+def test_lacking_keys_are_found_once(spark):
+    edges = spark.range(50).selectExpr("concat('a', id) as parent", "concat('b', id % 7) as child", "true as leaf")
+    roots, stored = spark.sql("select concat('a', id) as key from range(4)"), spark.sql("select inline(array(struct('a1' as key), struct('b2' as key)))")
+    got = graph.incomplete(edges, roots, stored)
+    assert [tuple(x) for x in got.collect()] == [("a0", 0), ("a2", 0), ("a3", 0), ("b0", 1), ("b1", 1), ("b3", 1)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
