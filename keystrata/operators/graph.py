@@ -6,10 +6,11 @@ a leaf, so edges to leaves are used once, after a walk down or before a walk up,
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -70,6 +71,13 @@ class _Found:
             return True
         return None not in (self.least, other.least) and self.least <= other.most and other.least <= self.most
 
+    def prefixes(self) -> set[str | None]:
+        """What stands before the numbers that its least and greatest key end in, None if one of them ends in none."""
+        ends = [_NUMBERED.fullmatch(x) if isinstance(x, (bytes, bytearray)) else None for x in (self.least, self.most)]
+        return {None if x is None else bytes(x[1] or b"").decode() for x in ends}
+
+
+_NUMBERED = re.compile(rb"([ -~]*[ -/:-~])?(0|[1-9][0-9]{0,17})")
 
 #: Types whose values order in Python as in Spark (a string by its bytes, valid UTF-8 or not).
 _ORDERED = ("string", "binary", "tinyint", "smallint", "int", "bigint")
@@ -84,16 +92,47 @@ def _found(rows: DataFrame) -> _Found:
     return _Found(rows, n, size, True, *ends)
 
 
-def _leave(parts: list[_Found], edges: DataFrame, broadcast: int = 8 << 20, hashed: int = 64 << 20) -> DataFrame:
-    """(parent, depth, child): edges, read once, that leave any of ``parts``. These are broadcast up to so many bytes,
-    and become hash tables up to so many in a partition."""
+def _leave(parts: list[_Found], edges: DataFrame, broadcast: int = 8 << 20, hashed: int = 64 << 20, bitmaps: int = 32 << 20) -> DataFrame:
+    """(parent, depth, child): edges, read once, that leave any of ``parts``. These are broadcast up to so many bytes, or
+    as bitmaps of at most so many where their keys are numbered; else they become hash tables up to so many in a partition."""
     rows, size = _union([p.rows for p in parts]).select(F.col("key").alias("parent"), "depth"), sum(p.size for p in parts)
     if size <= broadcast:
         return F.broadcast(rows).join(edges, "parent")
+    prefixes = {x for p in parts for x in p.prefixes()} if dict(edges.dtypes)["parent"] == "string" else {None}
+    if None not in prefixes and len(prefixes) <= 16:
+        leaving = _leave_numbered(rows, edges, prefixes, bitmaps)
+        if leaving is not None:
+            return leaving
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.hint("shuffle_hash") if size <= hashed * n else rows).join(edges.repartition(n, "parent"), "parent")
 
 
+def _numbered(rows: DataFrame, prefixes: set[str]) -> DataFrame:
+    """``rows`` (parent, ...) with ``k``, ``tail``, ``n``, ``plain``: whether parent is the k-th prefix and n in plain decimal
+    digits. Generators keep the optimizer from copying the parsing into each place that uses it."""
+    known = sorted(prefixes, key=len, reverse=True)
+    begins = [F.col("parent").startswith(p) for p in known]
+    k, skip = (F.coalesce(*[F.when(b, x) for b, x in zip(begins, xs)]) for xs in (range(len(known)), [len(p) + 1 for p in known]))
+    tails = rows.select("*", F.inline(F.array(F.struct(k.alias("k"), F.substring("parent", skip, F.lit(19)).alias("tail"), (F.length("parent") < skip + 19).alias("whole")))))
+    return tails.select("*", F.explode(F.array(F.col("tail").try_cast("long"))).alias("n")).withColumn("plain", F.expr("whole and n >= 0 and cast(n as string) = tail"))
+
+
+def _leave_numbered(rows: DataFrame, edges: DataFrame, prefixes: set[str], most: int) -> DataFrame | None:
+    """As ``_leave``, but no edge is shuffled: the keys of ``rows`` are broadcast as bitmaps, one bit a number, exact. None
+    if any key is not one of at most 16 ``prefixes`` and a number, or the bitmaps would take over ``most`` bytes."""
+    keys = _numbered(rows.filter("parent is not null"), prefixes).selectExpr("depth", "n", "if(plain, shiftright(n, 6) * 16 + k, null) as at")
+    words = cut(keys.groupBy("depth", "at").agg(F.expr("bit_or(shiftleft(1L, cast(n & 63 as int))) as word")))
+    words = words.selectExpr("depth", "shiftright(at, 10) * 16 + (at & 15) as place", "cast(shiftright(at, 4) & 63 as int) as slot", "word")
+    lines = words.groupBy("depth", "place").agg(F.map_from_entries(F.collect_list(F.struct("slot", "word"))).alias("words"))
+    n, odd = words.select("depth", "place").distinct().agg(F.count(F.lit(1)), F.count_if(F.col("place").isNull())).first()
+    if odd or 600 * n > most:  # a line: 64 words and its place in the table
+        return None
+    lines = lines.selectExpr("depth", "place", "transform(sequence(0, 63), x -> coalesce(element_at(words, x), 0L)) as words")
+    asked = _numbered(edges.select("parent", "child"), prefixes).filter("plain").withColumn("at", F.expr("shiftright(n, 12) * 16 + k"))
+    marked = F.expr("shiftright(words[cast(shiftright(n, 6) & 63 as int)], cast(n & 63 as int)) & 1 = 1")
+    return asked.join(F.broadcast(lines), (F.col("at") == F.col("place")) & marked).select("parent", "depth", "child")
+
+
 def _to_leaves(last: DataFrame, parts: list[_Found]) -> list[_Found]:
     """``parts`` and the leaves behind them; keys found on both ways keep their lesser depth."""
     found = _found(_leave(parts, last).groupBy(F.col("child").alias("key")).agg((F.min("depth") + 1).alias("depth")))
@@ -112,14 +151,22 @@ def _rounds(edges: DataFrame, roots: DataFrame, first: DataFrame | None, most_ro
         links.unpersist()
 
 
+def _heads(links: DataFrame) -> list[bytes]:
+    """First bytes of the parents: a frontier that lies apart from all of them leads nowhere, and is not shuffled to see it."""
+    return [bytes(x.head) for x in links.select(F.substring(F.col("parent").cast("binary"), 1, 1).alias("head")).filter("head is not null").distinct().collect()]
+
+
 def _walk(links: DataFrame, roots: DataFrame, first: DataFrame | None, most_rounds: int) -> list[_Found]:
     """Keys of a round often lie apart from earlier ones (another kind, a later number). A round then reads only the edges
     between its least and greatest parent, and only earlier rounds whose keys its own may repeat are compared with it."""
     frontier = _found(roots.select("key").distinct().withColumn("depth", F.lit(0).cast("long")))
     kinds = {dict(roots.dtypes)["key"], *dict(links.dtypes).values()}
     ordered = len(kinds) == 1 and frontier.ordered
+    heads = _heads(links) if ordered and kinds == {"string"} else None
     parts, mixed, depth = [frontier], not ordered, 0
     while depth < most_rounds:
+        if heads is not None and frontier.least is not None and (depth or first is None) and not any(frontier.least[:1] <= x <= frontier.most[:1] for x in heads):
+            return parts
         near = links.filter(F.col("parent").between(*[F.lit(x).cast(*kinds) for x in (frontier.least, frontier.most)])) if ordered else links
         step = frontier.rows.select(F.col("key").alias("parent")).join(near, "parent").select(F.col("child").alias("key"))
         if depth == 0 and first is not None:

@@ -528,3 +528,38 @@ def test_lacking_keys_are_found_once(spark):
     got = graph.incomplete(edges, roots, stored)
     assert [tuple(x) for x in got.collect()] == [("a0", 0), ("a2", 0), ("a3", 0), ("b0", 1), ("b1", 1), ("b3", 1)]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_of_numbered_parents_are_not_shuffled(spark):
+    parents = ["concat('o', id)", "concat('ob', id * 3)", "concat('o1b', id)", "cast(id as string)", "concat('o', id + 9000000000)"]
+    found = spark.sql(" union all ".join(f"select {p} as key, id % 3 as depth from range(40000)" for p in parents)).distinct()
+    extra = ["o", "o01", "o007", "o+5", "o 5", "o5 ", "o-5", "o5.0", "p5", "ob1", "ob3", "o1b", "o1b2", "00", "0", "99999999999999999999999", "o99999999999999999999999", "", "é 5"]
+    edges = spark.range(60_000).selectExpr("concat('o', id * 2) as parent", "concat('l', id % 10) as child")
+    edges = edges.unionByName(spark.createDataFrame([(x, "x" + x) for x in extra] + [(None, "none")], "parent string, child string"))
+    part = graph._found(found)
+    assert part.size > 8 << 20 and part.prefixes() == {"", "ob"}
+    want = sorted(map(tuple, graph._leave([part], edges, 0, 64 << 20, 0).select("parent", "depth", "child").collect()))
+    before = shuffled_records(spark)
+    rows, prefixes = part.rows.withColumnRenamed("key", "parent"), {"", "o", "ob", "o1b"}
+    leaving = graph._leave_numbered(rows, edges, prefixes, 32 << 20)
+    assert sorted(map(tuple, leaving.collect())) == want and len(want) == 20_003
+    assert shuffled_records(spark) - before < 40_000  # words of the bitmaps
+    # keys that are no number, or too thin for bitmaps: not taken, and the same rows come by a shuffle
+    assert graph._leave_numbered(rows, edges, prefixes, 1000) is None
+    for odd in ("o01", "é5"):
+        more = rows.unionByName(spark.sql(f"select '{odd}' as parent, 0L as depth"))
+        assert graph._leave_numbered(more, edges, prefixes, 32 << 20) is None
+    assert graph._leave_numbered(rows, edges, {"", "ob"}, 32 << 20) is None
+    assert sorted(map(tuple, graph._leave([part], edges).select("parent", "depth", "child").collect())) == want
+
+
+def test_a_frontier_apart_from_all_parents_is_not_shuffled(spark):
+    edges = spark.range(20_000).selectExpr("concat('a', id % 5) as parent", "concat('b', id) as child", "false as leaf")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_records(spark)
+        assert graph.reachable_keys(edges, spark.sql("select concat('a', id) as key from range(5)")).count() == 20_005
+        assert shuffled_records(spark) - before < 50_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
