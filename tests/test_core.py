@@ -563,3 +563,55 @@ def test_a_frontier_apart_from_all_parents_is_not_shuffled(spark):
         assert shuffled_records(spark) - before < 50_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_numbered_keys_are_kept_as_words(spark):
+    odd = ["p1\n", "p01", "p0", "p", "", "12", "p-5", " 5", "p5 ", "p999999999999999999", "p9999999999999999999", "p63", "é7", "a1b2", "o1", "o10", "o99", "o100", "o127", None]
+    part = graph._found(spark.createDataFrame([(x, d) for x in odd for d in (1, 2)], "key string, depth long"))
+    assert sorted(map(repr, map(tuple, part.rows.collect()))) == sorted(repr((x, d)) for x in odd for d in (1, 2))
+    assert part.n == 2 * len(odd) and (part.least, part.most) == (b"", "é7".encode())
+    for low, high in ((1000, 1100), (95, 105), (0, 7), (63, 64)):
+        part = graph._found(spark.range(low, high).selectExpr("concat('o', id) as key", "0L as depth"))
+        keys = sorted(f"o{k}".encode() for k in range(low, high))
+        assert part.n == len(keys) and part.least <= keys[0] and part.most >= keys[-1] and part.rows.count() == len(keys)
+        assert not graph._found(spark.sql("select 'o' as key, 0L as depth")).meets(part) and graph._found(spark.sql(f"select 'o{low}' as key, 0L as depth")).meets(part)
+    part = graph._found(spark.range(100_000).selectExpr("concat('o', id) as key", "3L as depth"))
+    assert part.n == 100_000 and part.words.count() == 1563
+    assert part.rows.distinct().agg(F.count("key"), F.sum(F.substring("key", 2, 9).cast("long"))).first() == (100_000, 99_999 * 50_000)
+
+
+def test_walks_over_numbered_keys_shuffle_words(spark):
+    inner = spark.range(100_000).selectExpr("concat('c', id div 100) as parent", "concat('o', id) as child", "false as leaf")
+    leaves = spark.range(100_000).selectExpr("concat('o', id) as parent", "concat('p', id) as child", "true as leaf")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_records(spark)
+        assert graph.reachable_keys(inner.unionByName(leaves), spark.sql("select concat('c', id) as key from range(1000)")).distinct().count() == 201_000
+        assert shuffled_records(spark) - before < 201_000 + 30_000  # those of the distinct here, and words
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("most_rounds", [200, 2])
+def test_walks_over_numbered_and_other_keys(spark, most_rounds):
+    r = random.Random(5)
+    keys = [f"{h}{k}" for h in ("a", "b1x", "", "a0") for k in range(60)]
+    links = [(r.choice(keys), r.choice(keys), False) for _ in range(330)] + [(r.choice(keys), r.choice(keys) if k % 3 == 0 else f"l{k % 70}", True) for k in range(200)]
+    links = [(a, b, leaf) for a, b, leaf in links if not leaf or b[0] == "l" or not any(x == b for x, _, _ in links)]
+    edges = spark.createDataFrame(links, "parent string, child string, leaf boolean")
+
+    def want(pairs, starts):
+        seen, at, depth = dict.fromkeys(starts, 0), set(starts), 0
+        while at:
+            depth += 1
+            at = {b for a, b in pairs if a in at} - seen.keys()
+            seen |= dict.fromkeys(at, depth)
+        return sorted(seen.items())
+
+    starts = r.sample(keys, 4)
+    got = graph.closure(edges, spark.createDataFrame([(x,) for x in starts], "key string"), most_rounds)
+    assert sorted(map(tuple, got.collect())) == want([x[:2] for x in links], starts)
+    ends = ["l3", "l9", starts[0]]
+    got = graph.closure_up(edges, spark.createDataFrame([(x,) for x in ends], "key string"), most_rounds)
+    assert sorted(map(tuple, got.collect())) == want([(b, a) for a, b, _ in links], ends)
