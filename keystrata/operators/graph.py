@@ -99,7 +99,7 @@ def _found(rows: DataFrame) -> _Found:
 def _packed(rows: DataFrame) -> DataFrame:
     """String keys as (depth, head, at, word), repeats merged: a key that is ``head`` (printable ASCII without digits) and a
     number in plain digits is bit number % 64 of ``word``, ``at`` being number // 64; any other key is a head of its
-    own, ``at`` and ``word`` null. Nothing is cast that is no number, as a cast that fails takes 50 times as long."""
+    own, ``at`` and ``word`` null. Nothing is cast that is no number, as a cast that fails takes many times as long."""
     split = rows.select("depth", "key", F.regexp_extract("key", r"^[ -/:-~]*+(0|[1-9][0-9]{0,17}+)\z", 1).alias("tail"))
     split = split.select("depth", F.expr("if(tail <> '', substring(key, 1, length(key) - length(tail)), key)").alias("head"), F.expr("if(tail <> '', cast(tail as bigint), null)").alias("n"))
     words = split.select("depth", "head", F.shiftright("n", 6).alias("at"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("word"))
